@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Functions sent to executors take their code along, so that these need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules["graphloom.llm"])
+
 _OWN_DIR: dict[str, str] = {}
 
 
