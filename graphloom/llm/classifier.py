@@ -51,7 +51,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     """The document model; None where the labels hold fewer than two classes. Null labels are left out, documents labelled twice count by their smallest label."""
     y = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
     chosen = y.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(max_labelled)
-    d = docs.select("doc_id", F.col("text")).join(chosen, "doc_id")
+    # At most max_labelled rows, whatever the corpus: small enough to send to where the texts are.
+    d = docs.select("doc_id", F.col("text")).join(F.broadcast(chosen), "doc_id")
     got = d.select("y", _stats(F.col("text")).alias("s")).toArrow()
     ys = np.array(got["y"], dtype=float)
     if len(set(ys.tolist())) < 2:
