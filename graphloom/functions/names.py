@@ -131,15 +131,13 @@ def _kind(p: Column) -> Column:
 
 def arity(params) -> Column:
     """Required parameters; negative, less one, if others are optional or gathered; -1 for keywords alone. Reads kind, then type."""
-    ps = F.coalesce(_c(params), F.array().cast("array<struct<name:string,kind:string,type:string>>"))
-    count = lambda *ks: F.size(F.filter(ps, lambda p: _kind(p).isin(*ks)))
+    count = lambda *ks: F.coalesce(F.size(F.filter(_c(params), lambda p: _kind(p).isin(*ks))), F.lit(0))
     req = count("req", "required")
     return F.when(count("opt", "optional", "rest") > 0, -(req + 1)).when((req == 0) & (count("key", "keyreq", "keyrest") > 0), -1).otherwise(req)
 
 
 def arity_simple(params) -> Column:
-    ps = F.coalesce(_c(params), F.array().cast("array<struct<name:string,kind:string,type:string>>"))
-    count = lambda *ks: F.size(F.filter(ps, lambda p: _kind(p).isin(*ks)))
+    count = lambda *ks: F.coalesce(F.size(F.filter(_c(params), lambda p: _kind(p).isin(*ks))), F.lit(0))
     req, opt = count("req", "required"), count("opt", "optional")
     return F.when(count("rest") > 0, -req - 1).otherwise(req + opt)
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from graphloom.plans import graphs, lookups, measures, names, rules, texts  # noqa: F401
+from graphloom.plans.base import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
