@@ -90,10 +90,11 @@ def issues(rules: list[dict]) -> Column:
 
 def penalty(found: Column, of: dict[str, float]) -> Column:
     """Thousandths, so that sums are exact."""
-    each = F.lit(0)
-    for k, v in of.items():
-        each = each + F.size(F.filter(found, lambda i, k=k: i["severity"] == k)) * round(v * 1000)
-    return each
+
+    def of_level(level: str) -> Column:
+        return F.size(F.filter(found, lambda i: i["severity"] == level))
+
+    return sum((of_level(k) * round(v * 1000) for k, v in of.items()), F.lit(0))
 
 
 def _score(milli: Column) -> Column:

@@ -105,12 +105,20 @@ def stability_composite(age, coverage, churn, doc) -> Column:
     return F.round(0.2 * norm_age(age) + 0.3 * norm_coverage(coverage) + 0.3 * (1 - norm_churn(churn)) + 0.2 * norm_coverage(doc), 2)
 
 
+def hundredths(total: Column, n: Column) -> Column:
+    """total / (100 n) for whole numbers, rounded half up to two places without passing through fractions; null where n is 0."""
+    return F.floor(F.try_divide(2 * total + n, 2 * n)) / 100.0
+
+
 def complexity_score(cx) -> Column:
-    return F.round(norm_ten(cx), 2)
+    """A tenth, at most 1, rounded from thousandths."""
+    return hundredths(F.round(norm_ten(cx) * 1000).cast("bigint"), F.lit(10).cast("bigint"))
 
 
 def maintainability(stability, cx_score, coupling) -> Column:
-    return F.round((_c(stability) + (1 - _c(cx_score)) + (1 - norm_ten(coupling))) / 3, 2)
+    """Mean of stability, simplicity and looseness, each taken in thousandths."""
+    milli = lambda x: F.round(x * 1000).cast("bigint")
+    return hundredths(milli(_c(stability)) + 2000 - milli(_c(cx_score)) - milli(norm_ten(coupling)), F.lit(30).cast("bigint"))
 
 
 QUALITY_LEVELS = [(0.9, "excellent"), (0.7, "good"), (0.5, "fair"), (0.3, "poor")]

@@ -22,9 +22,9 @@ def class_rollup(methods: DataFrame) -> DataFrame:
     public = F.col("visibility") == "public"
     return m.groupBy("owner").agg(
         F.count(F.lit(1)).alias("methods"), F.sum("complexity").alias("total_complexity"), F.sum(S.zero("body_lines")).alias("loc"),
-        F.round(F.avg("complexity"), 2).alias("avg_complexity"),
-        F.round(F.sum(F.coalesce("test_coverage", F.lit(0.0)).cast("decimal(18,4)")).cast("double") / F.count(F.lit(1)), 2).alias("coverage"),
-        F.round(F.sum(F.coalesce("doc_coverage", F.lit(0.0)).cast("decimal(18,4)")).cast("double") / F.count(F.lit(1)), 2).alias("doc_coverage"),
+        S.hundredths(F.sum("complexity") * 100, F.count("complexity")).alias("avg_complexity"),
+        S.hundredths(F.sum(F.round(F.coalesce("test_coverage", F.lit(0.0)) * 100).cast("bigint")), F.count(F.lit(1))).alias("coverage"),
+        S.hundredths(F.sum(F.round(F.coalesce("doc_coverage", F.lit(0.0)) * 100).cast("bigint")), F.count(F.lit(1))).alias("doc_coverage"),
         F.sum(F.coalesce(public, F.col("scope") == "class").cast("int")).alias("api_size"),
     )
 
@@ -73,7 +73,7 @@ def severity_counts(issues: DataFrame, levels=("critical", "high", "medium", "lo
 
 def overall(scores: DataFrame) -> DataFrame:
     """Mean of all scores (hundredths are summed, so that order doesn't matter), and its level."""
-    mean = F.round(F.try_divide(F.sum(F.round(F.col("score") * 100).cast("bigint")), F.count("score") * 100), 2)
+    mean = S.hundredths(F.sum(F.round(F.col("score") * 100).cast("bigint")), F.count("score"))
     return scores.agg(mean.alias("quality"), F.count("score").alias("scored")).withColumn("level", S.quality_level("quality"))
 
 
