@@ -23,6 +23,8 @@ P = len(VECTOR)
 #: Least standard deviation of each statistic: below it, a difference is of no interest.
 FLOORS = [0.1, 0.05, 0.05, 0.05, 0.05, 0.1, 0.2, 0.05, 0.05]
 SUPPORT, STEPS, LEAST_GROUP, TAIL = 0.7, 5, 100, 1e-12
+#: The size, which comes first in the vector, counts for at most so many standard deviations: being long or short alone is no fault.
+SIZE_MOST = 4.0
 _PARAMS = "g string, n bigint, mu array<double>, w array<double>"
 
 
@@ -138,7 +140,7 @@ def judge(docs: DataFrame, model: DataFrame, tail: float = TAIL) -> DataFrame:
     s = None
     for i in range(P):
         z = sum((F.expr(f"__m.w[{i * P + k}] * (__x[{k}] - __m.mu[{k}])") for k in range(i + 1)), F.lit(0.0))
-        s = z * z if s is None else s + z * z
+        s = F.least(z * z, F.lit(SIZE_MOST**2)) if s is None else s + z * z
     j = j.withColumn("__d2", s).drop("__m")
     unjudged = F.col("__x").isNotNull() & F.col("__d2").isNull()
     return j.withColumn("__keep", F.coalesce(F.col("__d2") <= chi2_quantile(1 - tail, P), unjudged)).drop("__x")
@@ -152,7 +154,8 @@ def assess(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     """(doc_id, lang, source, d2, keep): squared robust distance of each document, and whether it stays.
 
     It goes if its distance has a probability under `tail` among normal vectors of its language and
-    source. A null, empty or wordless text has no vector: d2 is null and it goes. Nulls in lang or
+    source; of that distance, size makes at most SIZE_MOST squared, while the other statistics count
+    in full, given the size. A null, empty or wordless text has no vector: d2 is null and it goes. Nulls in lang or
     source are values of their own. Pairs under LEAST_GROUP documents are estimated with the other
     small ones of their language, then of all; if these too are fewer, there is nothing to judge by
     and all stay with a null d2. Repeated rows count each time and get the same result. Other
