@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import settle, table
+from graphloom.llm.common import settle, table, whole_row
 from graphloom.llm.textstats import stats, vectors
 from graphloom.llm.words import buffers
 
@@ -147,7 +147,7 @@ def keep_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
     model = train(docs, labels, max_labelled)
     p = own_probability(F.col("text"), model)
     sites = site_posteriors(settle(docs.select("lang", "source", p.alias("p"))))
-    narrow = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "lang", "source", p.alias("p"))
+    narrow = docs.select(whole_row(docs), "lang", "source", p.alias("p"))
     return combine(narrow, sites).where(F.col("__posterior") >= KEEP_FROM).select("__row.*")
 
 

@@ -46,3 +46,8 @@ def text_of(col: Column | str) -> Column:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns in one struct `__row`, so that no name in the input can clash with one made on the way."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")

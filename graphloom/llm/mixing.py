@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import settle, table, text_of
+from graphloom.llm.common import settle, table, text_of, whole_row
 
 WEIGHTS = {"src0": 4, "src1": 2, "src2": 2, "src3": 2}
 DEFAULT_WEIGHT, SEED, RANGE_DIGITS = 1, "mix-1", 3
@@ -105,13 +105,16 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, default=DEFAULT_WEIGHT, tota
     """
     at = cuts(settle(_units(docs)), weights, default, total, seed)
     text = text_of("text")
-    rows = docs.withColumn("__digest", F.md5(text.cast("binary"))).withColumn("__tokens", words_in(text))
+    rows = docs.select(whole_row(docs), "doc_id", "source", F.md5(text.cast("binary")).alias("__digest"), words_in(text).alias("__tokens"))
     p = _picked(rows, at, seed)
-    short = F.array_join(F.slice(F.split(F.regexp_replace(text_of("text"), "^[ \\t\\n\\r]+", ""), "[ \\t\\n\\r]+"), 1, F.col("take_tokens").cast("int")), " ")
-    p = p.withColumn("text", F.when(F.col("take_tokens") < F.col("__tokens"), short).otherwise(F.col("text")))
+    text = text_of(F.col("__row.text"))
+    short = F.array_join(F.slice(F.split(F.regexp_replace(text, "^[ \\t\\n\\r]+", ""), "[ \\t\\n\\r]+"), 1, F.col("take_tokens").cast("int")), " ")
+    is_cut = F.col("take_tokens") < F.col("__tokens")
+    p = p.withColumn("__text", F.when(is_cut, short).otherwise(F.col("__row.text")))
+    made = {"text": F.col("__text")}
     if "n_chars" in docs.columns:
-        p = p.withColumn("n_chars", F.when(F.col("take_tokens") < F.col("__tokens"), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return p.select(*[F.col(f"`{c}`") for c in docs.columns])
+        made["n_chars"] = F.when(is_cut, F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__row.n_chars"))
+    return p.select(*[made.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir):

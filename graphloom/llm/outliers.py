@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import settle, table
+from graphloom.llm.common import settle, table, whole_row
 from graphloom.llm.textstats import VECTOR, vector_of
 
 P = len(VECTOR)
@@ -166,7 +166,7 @@ def assess(docs: DataFrame, tail: float = TAIL) -> DataFrame:
 
 def keep_documents(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     """The documents that stay, with the columns of `docs`."""
-    return judge(docs, model_of(docs), tail).where("__keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judge(docs.select(whole_row(docs), "text", "lang", "source"), model_of(docs), tail).where("__keep").select("__row.*")
 
 
 def query(spark, sf_dir):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import parallelism, settle, table
+from graphloom.llm.common import parallelism, settle, table, whole_row
 from graphloom.llm.words import buffers, mix, pieces, shingle_sets
 
 NGRAM, THRESHOLD = 3, 0.5
@@ -400,12 +400,14 @@ def keep_documents(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD) -> Dat
     """
     found = groups(docs, n, t)
     gone = found.where("doc_id <> kept").select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    rows = docs.select(whole_row(docs), F.col("doc_id").alias("__id"))
+    kept = rows.join(gone, F.col("__id") == F.col("__gone"), "left_anti")
     again = settle(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1 and doc_id is not null").select(F.col("doc_id").alias("__again")))
     if again.isEmpty():
-        return kept
-    once = kept.join(again, F.col("doc_id") == F.col("__again"), "left_anti")
-    return once.unionByName(kept.join(again, F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id", "text"]))
+        return kept.select("__row.*")
+    once = kept.join(again, F.col("__id") == F.col("__again"), "left_anti").select("__row.*")
+    same = kept.join(again, F.col("__id") == F.col("__again"), "left_semi").withColumn("__text", F.col("__row.text"))
+    return once.unionByName(same.dropDuplicates(["__id", "__text"]).select("__row.*"))
 
 
 def query(spark, sf_dir):
