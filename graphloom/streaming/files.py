@@ -10,7 +10,7 @@ from graphloom.operators.incremental import upsert
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*.rb") -> DataFrame:
     """(path, content, modified): a stream of whole source files."""
-    raw = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     return raw.select("path", F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("modified"))
 
 
