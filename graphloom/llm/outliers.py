@@ -22,7 +22,7 @@ from graphloom.llm.textstats import VECTOR, vector_of
 P = len(VECTOR)
 #: Least standard deviation of each statistic: below it, a difference is of no interest.
 FLOORS = [0.1, 0.05, 0.05, 0.05, 0.05, 0.1, 0.2, 0.05, 0.05]
-SUPPORT, STEPS, LEAST_GROUP, TAIL = 0.7, 5, 100, 1e-12
+SUPPORT, STEPS, LEAST_GROUP, TAIL = 0.7, 5, 100, 1e-9
 #: The size, which comes first in the vector, counts for at most so many standard deviations: being long or short alone is no fault.
 SIZE_MOST = 4.0
 _PARAMS = "g string, n bigint, mu array<double>, w array<double>"
@@ -124,10 +124,11 @@ def fit(vectors: DataFrame) -> DataFrame:
     params = settle(_start(x))
     for _ in range(STEPS):
         params = settle(_step(x, params))
-    # The median distance of normal vectors fixes the scale.
+    # The median distance of normal vectors fixes the scale; where vectors differ by less than the
+    # floors, distances are small as they should be, and aren't scaled up.
     d = x.join(params, "g").select("g", _bin(_d2(F.col("w"))).alias("b"))
     mid = _at_share(d.groupBy("g", "b").agg(F.count(F.lit(1)).alias("c")), 0.5)
-    scale = F.sqrt(F.lit(chi2_quantile(0.5, P)) / F.pow(F.lit(2.0), (F.col("cut") + 0.5) / 16))
+    scale = F.least(F.sqrt(F.lit(chi2_quantile(0.5, P)) / F.pow(F.lit(2.0), (F.col("cut") + 0.5) / 16)), F.lit(1.0))
     params = params.join(mid.select("g", scale.alias("scale")), "g").where(F.col("n") >= LEAST_GROUP).select("g", "mu", F.transform("w", lambda v: v * F.col("scale")).alias("w"))
     return settle(pairs.join(params, "g", "left").select("lang", "source", "mu", "w"))
 
