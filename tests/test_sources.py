@@ -7,7 +7,7 @@ MODEL = '''require "json"
 require_relative "./base"
 
 # A shop's customer.
-# @rubymap core
+# @since 1.2
 # @see Order
 # @see Cart
 class Shop::Customer < ApplicationRecord
