@@ -11,6 +11,7 @@ _MODULES = {
     "op4_chat_format": "chat",
     "op5_lm_score": "lm",
     "op6_fingerprints": "iblt",
+    "op6_nearest_versions": "versions",
     "op7_packing": "packing",
     "op8_sharding": "sharding",
     "op9_quality_classifier": "classifier",
