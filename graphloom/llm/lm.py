@@ -1,7 +1,9 @@
 """Language-model scoring with a causal self-attention model, trained and run in numpy on subword ids.
 
-A subword's probability is that of its class given what precedes, by the model, times its own within
-the class, by counts over the whole corpus. The commonest subwords are classes of their own.
+Inputs are subword ids, each with its own vector beside that of its class. A subword's probability is
+that of its class given what precedes, times its leaf's in the class, times its own in the leaf, all
+three by softmax of the same context vector; the last two start from counts over the whole corpus.
+The commonest subwords are classes of their own.
 Targets are scored in blocks of STRIDE; a block's window holds its inputs and the STRIDE before, so
 windows overlap, every subword is scored once, and each sees STRIDE + 1 to 2 STRIDE inputs but for
 a text's beginning.
@@ -23,7 +25,10 @@ from graphloom.llm.subwords import TOKENIZER, Subwords
 from graphloom.llm.words import mix
 
 STRIDE, DIM, HIDDEN, CLASSES, OWN = 16, 16, 32, 64, 47
-BOS, PAD = 0, CLASSES
+#: Leaves of each class that holds several subwords.
+LEAVES = 128
+#: Inputs are BOS, PAD, or FIRST + a subword's id.
+BOS, PAD, FIRST = 0, CLASSES, CLASSES + 1
 EVERY, SHARD, BATCH, ROUNDS, RATE = 64, 8192, 64, 2, 0.01
 SHAPES = {
     "emb": (CLASSES, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "o": (DIM, DIM), "rel": (2 * STRIDE,),
@@ -38,13 +43,18 @@ def initial(seed: int = 0) -> dict[str, np.ndarray]:
     return {k: (r.normal(0, 1 / np.sqrt(s[0]) if len(s) > 1 else 0, s)).astype(np.float32) for k, s in SHAPES.items()}
 
 
-def flat(p: dict) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in SHAPES])
+def word_shapes(vocabulary: int) -> dict[str, tuple]:
+    """Vectors of leaves as outputs, and of subwords as inputs and as outputs."""
+    return {"sub": (CLASSES - 1 - OWN, LEAVES, DIM), "word": (vocabulary, DIM), "leaf": (vocabulary, DIM)}
 
 
-def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
+def flat(p: dict, shapes: dict) -> np.ndarray:
+    return np.concatenate([p[k].ravel() for k in shapes])
+
+
+def unflat(x: np.ndarray, shapes: dict) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, s in SHAPES.items():
+    for k, s in shapes.items():
         n = int(np.prod(s))
         out[k] = np.asarray(x[at : at + n], np.float32).reshape(s)
         at += n
@@ -62,28 +72,68 @@ class Classes:
         self.of = (1 + OWN + mix(np.arange(vocabulary, dtype=np.uint64)) % np.uint64(rest)).astype(np.int16)
         self.of[order[:OWN]] = 1 + np.arange(min(OWN, vocabulary))
         self.log_share = np.log(c / np.bincount(self.of, weights=c, minlength=CLASSES)[self.of]).astype(np.float32)
-
-
-def _attend(p: dict, x: np.ndarray):
-    """Attention of windows (n, 2 STRIDE) of classes, at their last STRIDE positions."""
-    emb = np.vstack([p["emb"], np.zeros((1, DIM), np.float32)])
-    q = (emb @ p["q"])[x[:, STRIDE:]] / np.float32(np.sqrt(DIM))
-    k, v = (emb @ p["k"])[x], (emb @ p["v"])[x]
+        # Leaves of the classes of several: -1 for a subword that is a class of its own.
+        at = mix(np.arange(vocabulary, dtype=np.uint64) + np.uint64(0x1EAF)) % np.uint64(LEAVES)
+        self.leaf = np.where(self.of > OWN, (self.of.astype(np.int64) - 1 - OWN) * LEAVES + at.astype(np.int64), -1)
+        ids = np.flatnonzero(self.leaf >= 0)
+        ids = ids[np.argsort(self.leaf[ids], kind="stable")]
+        sizes = np.bincount(self.leaf[ids], minlength=rest * LEAVES)
+        weight = np.bincount(self.leaf[ids], weights=c[ids], minlength=rest * LEAVES)
+        self.place = np.zeros(vocabulary, np.int64)
+        self.place[ids] = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        # Members of each leaf, and logarithms of their shares in it; `vocabulary` where there is none.
+        self.members = np.full((rest * LEAVES, max(int(sizes.max()), 1)), vocabulary)
+        self.members[self.leaf[ids], self.place[ids]] = ids
+        self.log_in = np.full(self.members.shape, -np.inf, np.float32)
+        self.log_in[self.leaf[ids], self.place[ids]] = np.log(c[ids] / weight[self.leaf[ids]])
+        with np.errstate(divide="ignore"):
+            self.log_sub = np.log(weight.reshape(rest, LEAVES) / np.maximum(weight.reshape(rest, LEAVES).sum(1, keepdims=True), 1e-30)).astype(np.float32)
+
+
+def _inputs(p: dict) -> np.ndarray:
+    """Vectors of the inputs that aren't subwords' ids: classes and PAD."""
+    return np.vstack([p["emb"], np.zeros((1, DIM), np.float32)])
+
+
+def _vectors(p: dict, of: np.ndarray, inputs: np.ndarray) -> np.ndarray:
+    """Vectors of inputs: a subword's is its class's and its own."""
+    i = np.maximum(inputs - FIRST, 0)
+    word = inputs >= FIRST
+    return _inputs(p)[np.where(word, of[i], np.minimum(inputs, PAD))] + np.where(word[:, None], p["word"][i], np.float32(0))
+
+
+def _tables(p: dict, emb: np.ndarray):
+    return emb, emb @ p["q"] / np.float32(np.sqrt(DIM)), emb @ p["k"], emb @ p["v"]
+
+
+def _attend(p: dict, tables, x: np.ndarray, none: np.ndarray):
+    """Attention of windows (n, 2 STRIDE) of rows of the tables, at their last STRIDE positions; `none` marks PAD."""
+    emb, q, k, v = tables
+    q, k, v = q[x[:, STRIDE:]], k[x], v[x]
     s = q @ k.transpose(0, 2, 1)
     s += np.where(_CAUSAL, p["rel"][np.clip(_REL, 0, None)], np.float32(-1e9))
-    s += np.where(x == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
+    s += np.where(none, np.float32(-1e9), np.float32(0))[:, None, :]
     s -= s.max(2, keepdims=True)
     np.exp(s, out=s)
     s /= s.sum(2, keepdims=True)
     return emb, q, k, v, s, s @ v
 
 
-def forward(p: dict, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Log probability of the class y (n, STRIDE) after each of the last STRIDE inputs of x (n, 2 STRIDE)."""
-    emb, *_, ctx = _attend(p, x)
+def hidden(p: dict, tables, x: np.ndarray) -> np.ndarray:
+    """Context vectors (n STRIDE, DIM) after each of the last STRIDE inputs."""
+    emb, *_, ctx = _attend(p, tables, x, x == PAD)
     h = emb[x[:, STRIDE:]] + ctx @ p["o"]
     h = h.reshape(-1, DIM)
     h += np.maximum(h @ p["w1"] + p["b1"], 0) @ p["w2"]
+    return h
+
+
+def forward(p: dict, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log probability of the class y (n, STRIDE) after each of the last STRIDE inputs of x (n, 2 STRIDE), which are classes."""
+    return class_log(p, hidden(p, _tables(p, _inputs(p)), x), y)
+
+
+def class_log(p: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     z = h @ p["out"]
     z += p["bias"]
     z -= z.max(1, keepdims=True)
@@ -92,9 +142,96 @@ def forward(p: dict, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (at - np.log(z @ np.ones(CLASSES, np.float32))).reshape(y.shape)
 
 
+def _softmax(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities at `at`, and all probabilities; z is used up."""
+    z -= z.max(1, keepdims=True)
+    got = z[np.arange(len(z)), at]
+    np.exp(z, out=z)
+    total = z.sum(1)
+    z /= total[:, None]
+    return got - np.log(total), z
+
+
+def _log(z: np.ndarray, at) -> np.ndarray:
+    """Log probabilities at `at`; z is used up."""
+    z -= z.max(1, keepdims=True)
+    got = z[np.arange(len(z)), at]
+    np.exp(z, out=z)
+    return got - np.log(z @ np.ones(z.shape[1], z.dtype))
+
+
+def within(p: dict, classes: Classes, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Log probability of each id within its class, given the context vectors h."""
+    out = np.zeros(len(ids), np.float32)
+    rows = np.flatnonzero(classes.leaf[ids] >= 0)
+    rows = rows[np.argsort(classes.leaf[ids[rows]], kind="stable")]
+    leaf = classes.leaf[ids[rows]]
+    edges = np.flatnonzero(np.concatenate((np.ones(min(len(leaf), 1), bool), leaf[1:] != leaf[:-1], np.ones(min(len(leaf), 1), bool)))).tolist()
+    for a, z in zip(edges[:-1], edges[1:]):
+        one = int(leaf[a])
+        c, s = divmod(one, LEAVES)
+        members = classes.members[one]
+        members = members[members < len(p["leaf"])]
+        inner, outer = p["leaf"][members].T, p["sub"][c].T
+        for b in range(a, z, 4096):
+            r = rows[b : min(b + 4096, z)]
+            x = h[r]
+            out[r] = _log(x @ outer + classes.log_sub[c], s) + _log(x @ inner + classes.log_in[one, : len(members)], classes.place[ids[r]])
+    return out
+
+
+def _within_gradient(p: dict, classes: Classes, h: np.ndarray, ids: np.ndarray):
+    """Of within(): its value, and what the gradient of its negative sum is, for h, for leaves, and for (numbers, rows) of subwords."""
+    out, dh, dsub = np.zeros(len(ids), h.dtype), np.zeros_like(h), np.zeros(p["sub"].shape, h.dtype)
+    rows = np.flatnonzero(classes.leaf[ids] >= 0)
+    leaf = classes.leaf[ids[rows]]
+    c, s = np.divmod(leaf, LEAVES)
+    for k in np.unique(c):
+        m = c == k
+        r = rows[m]
+        out[r], e = _softmax(h[r] @ p["sub"][k].T + classes.log_sub[k], s[m])
+        e[np.arange(len(r)), s[m]] -= 1
+        dsub[k] = e.T @ h[r]
+        dh[r] = e @ p["sub"][k]
+    members = classes.members[leaf]
+    vectors = p["leaf"][np.minimum(members, len(p["leaf"]) - 1)]
+    place = classes.place[ids[rows]]
+    lp, e = _softmax((vectors @ h[rows][:, :, None])[:, :, 0] + classes.log_in[leaf], place)
+    out[rows] += lp
+    e[np.arange(len(rows)), place] -= 1
+    dh[rows] += (e[:, None, :] @ vectors)[:, 0]
+    real = members < len(p["leaf"])
+    own = np.broadcast_to(rows[:, None], members.shape)[real]
+    return out, dh, dsub, members[real], e[real][:, None] * h[own]
+
+
+def _sums(at: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the rows of d with the same number, and the numbers."""
+    order = np.argsort(at, kind="stable")
+    a = at[order]
+    starts = np.flatnonzero(np.concatenate((np.ones(min(len(a), 1), bool), a[1:] != a[:-1])))
+    return a[starts], np.add.reduceat(d[order], starts) if len(a) else d[:0]
+
+
 def gradient(p: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
-    """Mean loss over targets that aren't PAD, and its gradient."""
-    emb, q, k, v, a, ctx = _attend(p, x)
+    """Mean loss over targets that aren't PAD, and its gradient; inputs and targets are classes."""
+    loss, g, demb = _gradient(p, _inputs(p), x, x == PAD, y)
+    return loss, g | {"emb": demb[:CLASSES]}
+
+
+def word_gradient(p: dict, classes: Classes, x: np.ndarray, ids: np.ndarray) -> tuple[float, dict, dict]:
+    """Mean loss over ids (n, STRIDE; -1 for none) after inputs x, its gradient, and those of subwords' vectors as (numbers, rows)."""
+    used, at = np.unique(x, return_inverse=True)
+    y = np.where(ids >= 0, classes.of[np.maximum(ids, 0)], PAD)
+    loss, g, demb = _gradient(p, _vectors(p, classes.of, used), at.reshape(x.shape), x == PAD, y, classes, ids)
+    word = used >= FIRST
+    g["emb"] = np.zeros((CLASSES, DIM), demb.dtype)
+    np.add.at(g["emb"], np.where(word, classes.of[np.maximum(used - FIRST, 0)], used)[used != PAD], demb[used != PAD])
+    return loss, g, {"word": (used[word] - FIRST, demb[word]), "leaf": g.pop("leaf")}
+
+
+def _gradient(p: dict, table: np.ndarray, x: np.ndarray, none: np.ndarray, y: np.ndarray, classes: Classes | None = None, ids: np.ndarray | None = None):
+    emb, q, k, v, a, ctx = _attend(p, _tables(p, table), x, none)
     n = len(x)
     xq = x[:, STRIDE:]
     h0 = (emb[xq] + ctx @ p["o"]).reshape(-1, DIM)
@@ -114,6 +251,14 @@ def gradient(p: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
     e *= (on / m)[:, None].astype(np.float32)
     g = {"out": h.T @ e, "bias": e.sum(0)}
     dh = e @ p["out"].T
+    if classes is not None:
+        rows = np.flatnonzero(on)
+        lp, more, g["sub"], at, d = _within_gradient(p, classes, h[rows], ids.ravel()[rows])
+        loss -= lp.sum() / m
+        dh[rows] += more / np.float32(m)
+        g["sub"] /= np.float32(m)
+        at, d = _sums(at, d)
+        g["leaf"] = at, d / np.float32(m)
     dr = (dh @ p["w2"].T) * (u > 0)
     g |= {"w2": r.T @ dh, "w1": h0.T @ dr, "b1": dr.sum(0)}
     dh0 = (dh + dr @ p["w1"].T).reshape(n, STRIDE, DIM)
@@ -126,27 +271,30 @@ def gradient(p: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
     dq, dk = ds @ k / np.float32(np.sqrt(DIM)), ds.transpose(0, 2, 1) @ q
     tables = {}
     for name, d, at in (("q", dq, xq), ("k", dk, x), ("v", dv, x), ("emb", dh0, xq)):
-        tables[name] = np.eye(CLASSES + 1, dtype=np.float32)[at.ravel()].T @ d.reshape(-1, DIM)
+        tables[name] = np.zeros((len(emb), DIM), d.dtype)
+        rows, sums = _sums(at.ravel(), d.reshape(-1, DIM))
+        tables[name][rows] = sums
     demb = tables["emb"].copy()
     for name in "qkv":
         g[name] = emb.T @ tables[name]
         demb += tables[name] @ p[name].T
-    g["emb"] = demb[:CLASSES]
-    return float(loss), g
+    return float(loss), g, demb
 
 
-def train(p: dict, x: np.ndarray, y: np.ndarray, seed: int, rate: float = RATE) -> dict:
-    """One pass over the windows, by Adam."""
+def train(p: dict, classes: Classes, x: np.ndarray, ids: np.ndarray, seed: int, rate: float = RATE) -> dict:
+    """One pass over the windows, by Adam; vectors of subwords move when they are met, as outputs only those that these windows hold."""
     order = np.random.default_rng(seed).permutation(len(x))
     p = {k: v.copy() for k, v in p.items()}
-    m, s = ({k: np.zeros(sh) for k, sh in SHAPES.items()} for _ in range(2))
+    m, s = ({k: np.zeros(v.shape, np.float32) for k, v in p.items()} for _ in range(2))
+    held = np.zeros(len(p["word"]), bool)
+    held[ids[ids >= 0]] = True
     for i, at in enumerate(range(0, len(order), BATCH), 1):
         b = order[at : at + BATCH]
-        _, g = gradient(p, x[b], y[b])
-        for k in p:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
-            p[k] = (p[k] - rate * (m[k] / (1 - 0.9**i)) / (np.sqrt(s[k] / (1 - 0.99**i)) + 1e-8)).astype(np.float32)
+        _, g, rows = word_gradient(p, classes, x[b], ids[b])
+        for k, r, d in [(k, ..., g[k]) for k in g] + [(k, r[held[r]], d[held[r]]) for k, (r, d) in rows.items()]:
+            m[k][r] = 0.9 * m[k][r] + 0.1 * d
+            s[k][r] = 0.99 * s[k][r] + 0.01 * d**2
+            p[k][r] -= (rate * (m[k][r] / (1 - 0.9**i)) / (np.sqrt(s[k][r] / (1 - 0.99**i)) + 1e-8)).astype(np.float32)
     return p
 
 
@@ -158,11 +306,11 @@ def layout(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.arange(first[-1]) + np.repeat(begin[:-1] * STRIDE - first[:-1], n), blocks, begin
 
 
-def windows(classes: np.ndarray, first: np.ndarray, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def windows(inputs: np.ndarray, first: np.ndarray, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Inputs (blocks, 2 STRIDE) and targets (blocks, STRIDE) of all blocks of all texts, or of those chosen; PAD where there is nothing."""
     place, blocks, begin = layout(first)
-    y = np.full(begin[-1] * STRIDE, PAD, np.int16)
-    y[place] = classes
+    y = np.full(begin[-1] * STRIDE, PAD, inputs.dtype)
+    y[place] = inputs
     now = np.empty_like(y)
     now[1:] = y[:-1]
     starts = begin[:-1][blocks > 0]
@@ -207,10 +355,9 @@ def _gather(path: str):
     return run
 
 
-def _window_classes(ids: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs and targets from ids (n, 2 STRIDE + 1) of training windows."""
-    c = np.where(ids >= 0, of[np.maximum(ids, 0)], PAD).astype(np.int16)
-    x, y = c[:, :-1].copy(), c[:, -STRIDE:]
+def _window_inputs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and targets' ids from ids (n, 2 STRIDE + 1) of training windows."""
+    x, y = np.where(ids >= 0, ids + FIRST, PAD)[:, :-1], ids[:, -STRIDE:]
     none = ids[:, :-1] < 0
     # The input before a text's first subword is its beginning.
     first = none & np.concatenate([~none[:, 1:], (ids[:, -1:] >= 0)], axis=1)
@@ -219,14 +366,23 @@ def _window_classes(ids: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.nda
     return x, y
 
 
-def _train_shard(p: dict, of: np.ndarray, seed: int):
-    """A shard's windows to their number and the weights they lead to, in millionths: sums of whole numbers don't depend on order."""
+def _train_shard(p: dict, classes: Classes, shapes: dict, seed: int):
+    """A shard's windows to their number and the weights they lead to, in millionths: sums of whole numbers don't depend on order. Vectors of subwords are given only where the shard has the subword."""
 
     def run(part: pa.Table) -> pa.Table:
         ids = np.frombuffer(b"".join(sorted(part["ids"].to_pylist())), np.int32).reshape(-1, 2 * STRIDE + 1)
-        x, y = _window_classes(ids, of)
-        v = np.rint(flat(train(p, x, y, seed)) * 1e6).astype(np.int64)
-        return pa.table({"n": pa.array([len(ids)], pa.int64()), "v": pa.array([v.tolist()], pa.list_(pa.int64()))})
+        x, y = _window_inputs(ids)
+        got = train(p, classes, x, y, seed)
+        held = np.unique(ids[ids >= 0])
+        v, at, base = [], [], 0
+        for k, s in shapes.items():
+            size = int(np.prod(s))
+            i = (held[:, None] * DIM + np.arange(DIM)).ravel() if k in ("word", "leaf") else np.arange(size)
+            at.append(base + i)
+            v.append(np.rint(got[k].ravel()[i] * 1e6).astype(np.int64))
+            base += size
+        rows = lambda a, t: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a, t))
+        return pa.table({"n": pa.array([len(ids)], pa.int64()), "i": rows(np.concatenate(at), pa.int32()), "v": rows(np.concatenate(v), pa.int64())})
 
     return run
 
@@ -239,28 +395,43 @@ def fit(docs: DataFrame, path: str = TOKENIZER, rounds: int = ROUNDS) -> tuple[C
     w = gathered.where("kind = 1")
     shards = max(1, -(-w.count() // SHARD))
     dealt = w.select("ids", F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int").alias("shard"))
-    p, of = initial(), classes.of
+    words = word_shapes(vocabulary)
+    shapes = SHAPES | words
+    p = initial() | {k: np.zeros(s, np.float32) for k, s in words.items()}
     for r in range(rounds):
-        got = dealt.groupBy("shard").applyInArrow(_train_shard(p, of, r), "n bigint, v array<bigint>")
-        mean = got.select("n", F.posexplode("v").alias("i", "v")).groupBy("i").agg((F.sum(F.col("v").cast("decimal(38,0)") * F.col("n")) / F.sum("n")).cast("double").alias("v")).toArrow()
+        got = dealt.groupBy("shard").applyInArrow(_train_shard(p, classes, shapes, r), "n bigint, i array<int>, v array<bigint>")
+        mean = got.select("n", F.explode(F.arrays_zip("i", "v")).alias("z")).select("n", "z.i", "z.v").groupBy("i").agg((F.sum(F.col("v").cast("decimal(38,0)") * F.col("n")) / F.sum("n")).cast("double").alias("v")).toArrow()
         if not mean.num_rows:
             break
-        x = np.zeros(mean.num_rows)
+        x = flat(p, shapes).astype(float)
         x[np.array(mean["i"])] = np.array(mean["v"], float) / 1e6
-        p = unflat(x)
+        p = unflat(x, shapes)
     return classes, p
 
 
 def log_probabilities(ids: np.ndarray, first: np.ndarray, classes: Classes, p: dict) -> np.ndarray:
     """Of every subword, given those before it in its text."""
-    c = classes.of[ids]
     place, *_ = layout(first)
-    x, y = windows(c, first)
-    out = np.empty(y.shape, np.float32)
-    for a in range(0, len(x), 512):
-        t = y[a : a + 512]
-        out[a : a + 512] = forward(p, x[a : a + 512], np.where(t == PAD, 0, t))
-    return out.ravel()[place] + classes.log_share[ids]
+    if "word" not in p:  # a model of classes alone: shares in them are those of the corpus
+        x, y = windows(classes.of[ids], first)
+        out = np.empty(y.shape, np.float32)
+        for a in range(0, len(x), 512):
+            t = y[a : a + 512]
+            out[a : a + 512] = forward(p, x[a : a + 512], np.where(t == PAD, 0, t))
+        return out.ravel()[place] + classes.log_share[ids]
+    x, y = windows((ids + FIRST).astype(np.int32), first)
+    tables = _tables(p, _vectors(p, classes.of, np.arange(FIRST + len(p["word"]))))
+    out = np.empty(y.size, np.float32)
+    for a in range(0, len(x), 16384):
+        h = np.empty((y[a : a + 16384].size, DIM), np.float32)
+        t = np.maximum(y[a : a + 16384].ravel() - FIRST, 0)
+        for b in range(0, len(h), 512 * STRIDE):
+            part = slice(b, b + 512 * STRIDE)
+            at = a + b // STRIDE
+            h[part] = hidden(p, tables, x[at : min(at + 512, a + 16384)])
+            out[a * STRIDE + b : a * STRIDE + b + len(h[part])] = class_log(p, h[part], classes.of[t[part]])
+        out[a * STRIDE : a * STRIDE + len(h)] += within(p, classes, h, t)
+    return out[place]
 
 
 def score(docs: DataFrame, path: str = TOKENIZER, rounds: int = ROUNDS) -> DataFrame:

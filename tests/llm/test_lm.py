@@ -89,3 +89,47 @@ def test_scores(spark, words, clashing, empty, odd_rows):
     docs.append((999, " ".join(reversed(docs[0][1].split())) + " zq qz" * 20, "en", "s", 1))
     got = {r.doc_id: r.nll for r in lm.score(spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint")).collect()}
     assert got[999] > np.mean([v for k, v in got.items() if k != 999])
+
+
+def word_model(classes, vocabulary, seed):
+    r = np.random.default_rng(seed)
+    return model(seed) | {k: r.normal(0, 0.3, s).astype(np.float32) for k, s in lm.word_shapes(vocabulary).items()}
+
+
+def test_every_subword_depends_on_the_context():
+    classes = lm.Classes(np.arange(400), np.arange(400), 400)
+    p = word_model(classes, 400, 8)
+    # Given the context, the probabilities of all ids sum to one.
+    h = np.random.default_rng(9).normal(0, 1, (1, lm.DIM)).astype(np.float32)
+    every = np.exp(lm.class_log(p, np.repeat(h, 400, 0), classes.of) + lm.within(p, classes, np.repeat(h, 400, 0), np.arange(400)))
+    unused = [k for k in range(lm.CLASSES) if k not in classes.of]
+    none = sum(np.exp(lm.class_log(p, h, np.array([k])))[0] for k in unused)
+    assert abs(every.sum() + none - 1) < 1e-3
+    # Two ids of one class differ as inputs and, between themselves, as outputs.
+    a, b = np.flatnonzero(classes.of == classes.of[int(np.flatnonzero(classes.leaf >= 0)[0])])[:2]
+    left, right = (lm.log_probabilities(np.array([i, a, b]), np.array([0, 1, 3]), classes, p) for i in (a, b))
+    lone = [lm.log_probabilities(np.array([i, a]), np.array([0, 2]), classes, p)[1] for i in (a, b)]
+    assert abs(lone[0] - lone[1]) > 1e-4 and len(left) == len(right) == 3
+    ratio = [np.subtract(*(lm.log_probabilities(np.array([i, t]), np.array([0, 2]), classes, p)[1] for t in (a, b))) for i in (1, 2)]
+    assert abs(ratio[0] - ratio[1]) > 1e-4
+
+
+def test_word_gradient():
+    r = np.random.default_rng(5)
+    classes = lm.Classes(np.arange(200), np.arange(200), 200)
+    p = {k: v.astype(np.float64) for k, v in word_model(classes, 200, 6).items()}
+    ids = r.integers(0, 200, (3, 2 * lm.STRIDE + 1))
+    ids[0, :20], ids[1, 30:] = -1, -1
+    x, y = lm._window_inputs(ids)
+    _, g, rows = lm.word_gradient(p, classes, x, y)
+    full = dict(g)
+    for k, (at, d) in rows.items():
+        full[k] = np.zeros(p[k].shape)
+        full[k][at] = d
+    for k in p:
+        i = np.unravel_index(np.abs(full[k]).argmax(), full[k].shape)
+        up, down = ({n: v.copy() for n, v in p.items()} for _ in range(2))
+        up[k][i] += 1e-4
+        down[k][i] -= 1e-4
+        slope = (lm.word_gradient(up, classes, x, y)[0] - lm.word_gradient(down, classes, x, y)[0]) / 2e-4
+        assert abs(slope - full[k][i]) < 1e-3 * max(1, abs(slope)), k
