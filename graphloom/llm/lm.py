@@ -8,7 +8,7 @@ Targets are scored in blocks of STRIDE; a block's window holds its inputs and th
 windows overlap, every subword is scored once, and each sees STRIDE + 1 to 2 STRIDE inputs but for
 a text's beginning.
 
-Training windows come from every document, in proportion to its length. They are dealt into shards
+Training windows are all blocks of all documents. They are dealt into shards
 of one size, shards train by themselves from common weights, and the weights are averaged, for
 ROUNDS times: what is gathered and trained on grows with the corpus, what the driver holds does not.
 """
@@ -29,7 +29,7 @@ STRIDE, DIM, HIDDEN, CLASSES, OWN = 16, 16, 32, 64, 47
 LEAVES = 128
 #: Inputs are BOS, PAD, or FIRST + a subword's id.
 BOS, PAD, FIRST = 0, CLASSES, CLASSES + 1
-EVERY, SHARD, BATCH, ROUNDS, RATE = 64, 8192, 64, 2, 0.01
+EVERY, SHARD, BATCH, ROUNDS, RATE = 1, 8192, 64, 2, 0.01
 SHAPES = {
     "emb": (CLASSES, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "o": (DIM, DIM), "rel": (2 * STRIDE,),
     "w1": (DIM, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, DIM), "out": (DIM, CLASSES), "bias": (CLASSES,),

@@ -133,3 +133,13 @@ def test_word_gradient():
         down[k][i] -= 1e-4
         slope = (lm.word_gradient(up, classes, x, y)[0] - lm.word_gradient(down, classes, x, y)[0]) / 2e-4
         assert abs(slope - full[k][i]) < 1e-3 * max(1, abs(slope)), k
+
+
+@needs_file
+def test_training_windows_cover_every_subword(words):
+    texts = [words(5000, 21), words(3, 22), None, words(40, 23), words(700, 24)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], names=["doc_id", "text"])
+    rows = pa.Table.from_batches(list(lm._gather(TOKENIZER)(iter([batch])))).to_pylist()
+    targets = np.concatenate([np.frombuffer(r["ids"], np.int32)[-lm.STRIDE :] for r in rows if r["kind"] == 1])
+    ids, _ = Subwords().ids(pa.array(texts))
+    assert np.array_equal(np.sort(targets[targets >= 0]), np.sort(ids))
