@@ -8,22 +8,50 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: dict[str, str] = {}
+_SWEPT: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only a session of one machine gets one of its own where that is unset; elsewhere it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = tempfile.mkdtemp(prefix="graphloom-")
     return _OWN_DIR[app]
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it again: lineage ends there, whichever executor is lost."""
+    """Write `df` as a table in the shared folder and read it again: lineage ends there, whichever executor is lost.
+
+    The session's tables are deleted when it ends, and earlier by discard().
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/graphloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    home = f"{shared_dir(spark).rstrip('/')}/graphloom/{spark.sparkContext.applicationId}"
+    path = f"{home}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if home not in _SWEPT:
+        _SWEPT.add(home)
+        fs, p = _file_system(spark, home)
+        fs.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete settled tables that nothing reads any more; others are left alone."""
+    for t in tables:
+        path = getattr(t, "__dict__", {}).get("_settled_at")
+        if path:
+            fs, p = _file_system(t.sparkSession, path)
+            fs.delete(p, True)
