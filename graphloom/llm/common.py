@@ -3,37 +3,16 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.storage import discard, settle, shared_dir  # noqa: F401
+
 # Functions sent to executors take their code along, so that these need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules["graphloom.llm"])
 
-_OWN_DIR: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIR:
-        _OWN_DIR[app] = tempfile.mkdtemp(prefix="graphloom-")
-    return _OWN_DIR[app]
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it again: lineage ends there, whichever executor is lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/graphloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
