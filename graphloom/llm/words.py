@@ -80,6 +80,25 @@ def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return mix(h + lens.astype(np.uint64)), np.searchsorted(starts, off).astype(np.int64)
 
 
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[9, 10, 13, 32]] = True
+
+
+def token_counts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """For each text the number of its runs of anything but blanks, tabs and line ends."""
+    out = np.zeros(len(off) - 1, np.int64)
+    for a, z in pieces(off, 1 << 20):
+        o = off[a : z + 1] - off[a]
+        inside = ~_BLANK[raw[off[a] : off[z]]]
+        opens = inside.copy()
+        opens[1:] &= ~inside[:-1]
+        cuts = o[(o > 0) & (o < len(inside))]
+        opens[cuts] = inside[cuts]
+        at = np.searchsorted(np.flatnonzero(opens), o)
+        out[a:z] = np.diff(at)
+    return out
+
+
 def shingle_sets(raw: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its word n-grams; a text of 1 to n-1 words has one, of all its words."""
     w, first = word_hashes(raw, off)

@@ -1,7 +1,10 @@
 import hashlib
+import re
 from collections import defaultdict
 
-from graphloom.llm.mixing import mix, mix_documents
+from pyspark.sql import functions as F
+
+from graphloom.llm.mixing import _units, cuts, mix, mix_documents, words_in
 
 
 def brute(rows, weights, default=1, seed="mix-1"):
@@ -52,3 +55,16 @@ def test_documents_keep_columns(clashing, empty):
     assert out.columns == clashing.columns and out.dtypes == clashing.dtypes
     assert out.count() == mix(clashing, {"s0": 3}).count()
     assert mix(empty).count() == 0 and mix_documents(empty).count() == 0
+
+
+def test_tokens_are_counted_like_split(spark):
+    texts = ["", " ", "a", " a  b\t\nc\r", "x" * 3_000_000, "é ü ö", None, "a b " * 500_000, "\n\n", "b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(1).select("doc_id", words_in(F.col("text")).alias("n")).collect()
+    assert {r.doc_id: r.n for r in rows} == {i: len(re.findall("[^ \t\n\r]+", t or "")) for i, t in enumerate(texts)}
+
+
+def test_a_budget_of_many_epochs(spark):
+    docs = spark.createDataFrame([(1, "one", "en", "s0", 3)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    at = cuts(_units(docs), {"s0": 1}, total=10**13).first()
+    assert (at.epochs, at.rest) == (10**13, 0)
+    assert mix(docs, {"s0": 1}, total=40_000).selectExpr("max(epoch) z", "count(distinct epoch) n", "count(1) k").first()[:] == (39_999, 40_000, 40_000)
