@@ -45,40 +45,60 @@ def _split(url: Column) -> tuple[Column, Column, Column]:
     return F.regexp_replace(host, "\\.+$", ""), F.regexp_extract(full, "^([^?]*)", 1), full
 
 
+#: Dotted numbers and bracketed addresses have no suffixes but themselves.
+ADDRESS = "^([0-9]+([.][0-9]+){3}|\\[.*\\]?)$"
+
+
+def normalized(rules: DataFrame) -> DataFrame:
+    """`rules` with expressions as URLs are: no scheme, hosts in lower case without final dots, a path of at least "/". What has no host has a null expression."""
+    host, _, full = _split(F.col("expression"))
+    return rules.withColumn("expression", F.when(host != "", F.concat(host, full)))
+
+
+def malformed(rules: DataFrame) -> DataFrame:
+    """The rules that can never decide: those without a host or with an action other than block and allow."""
+    bad = normalized(rules).where(F.col("expression").isNull() | ~F.coalesce(F.col("action").isin("block", "allow"), F.lit(False)))
+    return rules.join(bad.select("rule"), "rule", "left_semi")
+
+
 def decide(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     """All columns of `pages`, with action ("block", "allow" or "none") and rule.
 
     Of the rules confirmed for a URL the one with the longest host decides, then the longest path,
     then "allow" before "block", then the smallest number. A null or empty URL, or one that no rule
-    fits, is "none" with a null rule. Rules with a null expression or action are ignored. Rows with
-    the same URL, repeated rows included, get the same decision. Columns of the input named action
-    or rule are replaced; names that start with "__u" are reserved.
+    fits, is "none" with a null rule. Rules are normalized like URLs; those that malformed() reports
+    are ignored. Paths are compared as they are written, without decoding. Addresses in numbers
+    match only as a whole. Rows with the same URL, repeated rows included, get the same decision, and
+    a URL is expanded once. Columns of the input named action or rule are replaced, others may have any name.
 
     No row is dropped and no page content is moved while matching: only distinct matches (url, rule)
     are grouped and joined back. The rules' side is broadcast only if Spark finds it small enough.
     """
-    r = rules.where(F.col("expression").isNotNull() & F.col("action").isNotNull()).select(
-        F.col("rule").alias("__ur"), F.col("action").alias("__ua"), F.sha2("expression", 256).alias("__ud"),
-        F.length(F.regexp_extract("expression", "^([^/]*)", 1)).alias("__uh"), F.length("expression").alias("__ul"),
-        (F.length("expression") - F.length(F.translate("expression", "/", ""))).alias("__us"),
-        F.size(F.split(F.regexp_extract("expression", "^([^/]*)", 1), "\\.")).alias("__un"),
-    ).withColumn("__up", F.substring("__ud", 1, 8))
+    head = F.length(F.regexp_extract("expression", "^([^/]*)", 1))
+    r = normalized(rules).where(F.col("expression").isNotNull() & F.col("action").isin("block", "allow")).select(
+        "rule", "action", F.sha2("expression", 256).alias("digest"), head.alias("host_length"), F.length("expression").alias("length"),
+        (F.length("expression") - F.length(F.translate("expression", "/", ""))).alias("slashes"),
+        F.size(F.split(F.regexp_extract("expression", "^([^/]*)", 1), "\\.")).alias("labels"),
+    ).withColumn("short", F.substring("digest", 1, 8))
     # No rule has more labels or slashes than these, so deeper expressions can't match any.
-    reach = r.agg(F.coalesce(F.max("__un"), F.lit(0)).alias("labels"), F.coalesce(F.max("__us"), F.lit(0)).alias("slashes"))
-    host, path, full = _split(F.col("__uu"))
-    u = pages.select(F.col(url).alias("__uu")).where(F.col("__uu").isNotNull()).select("__uu", host.alias("h"), path.alias("p"), full.alias("f")).where("h <> ''")
-    u = u.crossJoin(F.broadcast(reach)).select("__uu", "p", "f", F.split("h", "\\.").alias("hs"), F.split("p", "/").alias("ps"), "labels", "slashes")
+    reach = r.agg(F.coalesce(F.max("labels"), F.lit(0)).alias("labels"), F.coalesce(F.max("slashes"), F.lit(0)).alias("slashes"))
+    host, path, full = _split(F.col("u"))
+    u = pages.select(F.col(url).alias("u")).where("u is not null").distinct().select("u", host.alias("h"), path.alias("p"), full.alias("f")).where("h <> ''")
+    u = u.crossJoin(F.broadcast(reach)).select("u", "h", "p", "f", F.split("h", "\\.").alias("hs"), F.split("p", "/").alias("ps"), "labels", "slashes")
     n, m = F.least(F.size("hs"), "labels"), F.least(F.size("ps") - 1, "slashes")
     suffixes = F.expr("transform(sequence(1, least(size(hs), labels)), i -> array_join(slice(hs, -i, i), '.'))")
     prefixes = F.expr("transform(sequence(1, least(size(ps) - 1, slashes)), i -> concat(array_join(slice(ps, 1, i), '/'), '/'))")
-    u = u.where((n > 0) & (m > 0)).select("__uu", suffixes.alias("hs"), F.array_union(prefixes, F.array("p", "f")).alias("ps"))
-    e = u.select("__uu", F.explode("hs").alias("h"), "ps").select("__uu", "h", F.explode("ps").alias("p"))
-    e = e.select("__uu", F.sha2(F.concat("h", "p"), 256).alias("d")).withColumn("__up", F.substring("d", 1, 8))
-    hit = e.join(r, "__up").where(F.col("d") == F.col("__ud"))
-    best = F.max(F.struct(F.col("__uh"), F.col("__ul"), (F.col("__ua") == "allow").alias("a"), (-F.col("__ur")).alias("r"), F.col("__ua")))
-    best = hit.groupBy("__uu").agg(best.alias("__ub")).select("__uu", F.col("__ub.__ua").alias("__ua"), (-F.col("__ub.r")).alias("__ur"))
-    out = pages.drop("action", "rule").withColumn("__uk", F.col(url)).join(best, F.col("__uk") == F.col("__uu"), "left")
-    return out.withColumn("action", F.coalesce("__ua", F.lit("none"))).withColumn("rule", F.col("__ur")).drop("__uk", "__uu", "__ua", "__ur")
+    hosts = F.when(F.col("h").rlike(ADDRESS), F.array("h")).otherwise(suffixes)
+    u = u.where((n > 0) & (m > 0)).select("u", hosts.alias("hs"), F.array_union(prefixes, F.array("p", "f")).alias("ps"))
+    e = u.select("u", F.explode("hs").alias("h"), "ps").select("u", "h", F.explode("ps").alias("p"))
+    e = e.select("u", F.sha2(F.concat("h", "p"), 256).alias("d")).withColumn("short", F.substring("d", 1, 8))
+    hit = e.join(r, "short").where("d = digest")
+    best = F.max(F.struct("host_length", "length", (F.col("action") == "allow").alias("a"), (-F.col("rule")).alias("r"), "action", "rule"))
+    best = hit.groupBy("u").agg(best.alias("b")).select("u", F.struct("b.action", "b.rule").alias("b"))
+    rest = [c for c in pages.columns if c not in ("action", "rule")]
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(url).alias("k"))
+    out = rows.join(best, F.col("k") == F.col("u"), "left")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in rest], F.coalesce("b.action", F.lit("none")).alias("action"), F.col("b.rule").alias("rule"))
 
 
 def query(spark, sf_dir):
@@ -98,7 +118,7 @@ fit AS (
   SELECT url, rule, action, row_number() OVER (PARTITION BY url
     ORDER BY length(split_part(expression, '/', 1)) DESC, length(expression) DESC, action = 'block', rule) AS k
   FROM parts JOIN rules
-    ON (host = split_part(expression, '/', 1) OR ends_with(host, '.' || split_part(expression, '/', 1)))
+    ON (host = split_part(expression, '/', 1) OR (NOT regexp_matches(host, '{ADDRESS}') AND ends_with(host, '.' || split_part(expression, '/', 1))))
     AND (substr(expression, length(split_part(expression, '/', 1)) + 1) IN (whole, regexp_extract(whole, '^([^?]*)', 1))
       OR (ends_with(expression, '/') AND starts_with(regexp_extract(whole, '^([^?]*)', 1), substr(expression, length(split_part(expression, '/', 1)) + 1)))))
 SELECT p.page_id, p.url, coalesce(f.action, 'none') AS action, f.rule

@@ -1,4 +1,4 @@
-from graphloom.llm.urls import RULES, decide, rules_table
+from graphloom.llm.urls import RULES, decide, malformed, rules_table
 
 
 def brute(url, rules):
@@ -45,3 +45,13 @@ def test_rules_with_nulls_and_none(spark):
     assert decide(pages, some).select("action", "rule").collect()[0] == ("allow", 4)
     assert decide(pages, some.limit(0)).select("action", "rule").collect()[0] == ("none", None)
     assert decide(pages.limit(0), some).count() == 0
+
+
+def test_rules_are_normalized_and_malformed_ones_reported(spark):
+    rules = spark.createDataFrame([(1, "block", "Bad.Example.com/"), (2, "block", "other.example.com"), (3, "block", "/path/"), (4, "deny", "x.example/"), (5, "block", "http://Third.Example./a/"), (6, "block", "3.4/")], "rule int, action string, expression string")
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(["http://a.bad.example.com/x", "https://OTHER.example.com", "http://third.example/a/b", "http://x.example/", "http://1.2.3.4/", "http://a.3.4/"])], "__ur int, url string")
+    got = {r["__ur"]: (r.action, r.rule) for r in decide(pages, rules).collect()}
+    assert got == {0: ("block", 1), 1: ("block", 2), 2: ("block", 5), 3: ("none", None), 4: ("none", None), 5: ("block", 6)}
+    assert sorted(r.rule for r in malformed(rules).collect()) == [3, 4]
+    names = spark.createDataFrame([(1, "http://a.bad.example.com/", "b", 2, "c")], "u int, url string, action string, k int, `short` string")
+    assert decide(names, rules).collect()[0].asDict() == {"u": 1, "url": "http://a.bad.example.com/", "k": 2, "short": "c", "action": "block", "rule": 1}
