@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import parallelism, table
 
 N_SHARDS, N_SHARDS_BEFORE = 1024, 960
 
@@ -37,30 +37,37 @@ def key_of(col: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), 1, 16), 16, -10).cast("bigint")
 
 
-def shard_of(col: Column, n: int) -> Column:
+def shard_of(key: Column, n: int) -> Column:
+    """Shard of a key made by key_of."""
+
     @F.pandas_udf("int")
     def f(k: pd.Series) -> pd.Series:
         return pd.Series(jump(k.to_numpy(np.int64).view(np.uint64), n), dtype="int32")
 
-    return f(key_of(col))
+    return f(key)
 
 
 def assign(df: DataFrame, key: str = "doc_id", n: int = N_SHARDS, before: int | None = None) -> DataFrame:
     """All columns of `df`, with shard, and with shard_before and moved where `before` is given.
 
-    A null key is treated as the empty text, so all such rows share a shard; equal keys always do,
-    repeated rows included. Columns of the input named as the added ones are replaced. An empty
-    table gives an empty table.
+    Equal keys share a shard, repeated rows included. Rows with a null key are dealt to all shards
+    by what they hold in their other columns, so only those alike in all of them share one. Columns
+    of the input named as the added ones are replaced. An empty table gives an empty table.
     """
-    out = df.withColumn("shard", shard_of(F.col(key), n))
+    k = key_of(F.coalesce(F.col(key).cast("string"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    out = df.withColumn("shard", shard_of(k, n))
     if before is not None:
-        out = out.withColumn("shard_before", shard_of(F.col(key), before)).withColumn("moved", F.col("shard") != F.col("shard_before"))
+        out = out.withColumn("shard_before", shard_of(k, before)).withColumn("moved", F.col("shard") != F.col("shard_before"))
     return out
 
 
-def gather(sharded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of each shard together and in key order: one shuffle, on the shard number."""
-    return sharded.repartition("shard").sortWithinPartitions("shard", key)
+def gather(sharded: DataFrame, n: int = N_SHARDS, key: str = "doc_id") -> DataFrame:
+    """The rows of each shard together and in key order, by one shuffle.
+
+    Each task has as many whole shards as any other, consecutive ones; with as many shuffle partitions as shards, or more, it has one.
+    """
+    tasks = min(n, parallelism(sharded.sparkSession))
+    return sharded.repartitionById(tasks, F.expr(f"cast(cast(shard as bigint) * {tasks} div {n} as int)")).sortWithinPartitions("shard", key)
 
 
 def query(spark, sf_dir):

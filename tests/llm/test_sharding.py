@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from graphloom.llm.sharding import assign, gather, jump
 
@@ -28,10 +29,20 @@ def test_appending_moves_only_to_new_shards():
 
 
 def test_rows(clashing, empty, odd_rows):
-    out = gather(assign(clashing, n=16, before=12))
+    out = gather(assign(clashing, n=16, before=12), 16)
     rows = out.collect()
     assert len(rows) == len(odd_rows)
     for r in rows:
-        key = int(hashlib.md5(("" if r.doc_id is None else str(r.doc_id)).encode()).hexdigest()[:16], 16)
-        assert (r["shard"], r.shard_before, r.moved) == (one(key, 16), one(key, 12), one(key, 16) != one(key, 12))
+        if r.doc_id is not None:
+            key = int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:16], 16)
+            assert (r["shard"], r.shard_before, r.moved) == (one(key, 16), one(key, 12), one(key, 16) != one(key, 12))
     assert assign(empty).count() == 0
+
+
+def test_null_keys_are_dealt_out_and_tasks_hold_whole_shards(spark):
+    df = spark.range(2000).selectExpr("cast(null as bigint) as doc_id", "concat('t', id) as text")
+    out = gather(assign(df, n=8), 8).withColumn("task", F.spark_partition_id())
+    n = {r["shard"]: (r["n"], r["tasks"]) for r in out.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("task").alias("tasks")).collect()}
+    assert set(n) == set(range(8)) and all(150 < k < 350 and t == 1 for k, t in n.values())
+    tasks = out.groupBy("task").agg(F.countDistinct("shard").alias("n")).collect()
+    assert {r.n for r in tasks} == {2} and len(tasks) == 4
