@@ -1,16 +1,17 @@
 """Language-model scoring with a causal self-attention model, trained and run in numpy on subword ids.
 
 Inputs are subword ids, each with its own vector beside that of its class. A subword's probability is
-that of its class given what precedes, times its leaf's in the class, times its own in the leaf, all
+that of its class given what precedes, times its leaf's in the class, times that of its place in the leaf, all
 three by softmax of the same context vector; the last two start from counts over the whole corpus.
-The commonest subwords are classes of their own.
+The commonest subwords are classes of their own. Places have vectors that all leaves share: a softmax
+over them is two dense products, where vectors of its own for each subword would be gathered and scattered.
 Targets are scored in blocks of STRIDE; a block's window holds its inputs and the STRIDE before, so
 windows overlap, every subword is scored once, and each sees STRIDE + 1 to 2 STRIDE inputs but for
 a text's beginning.
 
-Training windows are all blocks of all documents. They are dealt into shards
-of one size, shards train by themselves from common weights, and the weights are averaged, for
-ROUNDS times: what is gathered and trained on grows with the corpus, what the driver holds does not.
+Training windows are all blocks of all documents. They are taken in shards of one size, shards train
+by themselves from common weights, and the weights are averaged, for ROUNDS times: what is gathered
+and trained on grows with the corpus, what the driver holds does not. Texts are tokenized once.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import settle, table
 from graphloom.llm.subwords import TOKENIZER, Subwords
-from graphloom.llm.words import mix
+from graphloom.llm.words import buffers, mix, pieces
 
 STRIDE, DIM, HIDDEN, CLASSES, OWN = 16, 16, 32, 64, 47
 #: Leaves of each class that holds several subwords.
 LEAVES = 128
 #: Inputs are BOS, PAD, or FIRST + a subword's id.
 BOS, PAD, FIRST = 0, CLASSES, CLASSES + 1
-EVERY, SHARD, BATCH, ROUNDS, RATE = 1, 8192, 64, 2, 0.01
+SHARD, BATCH, ROUNDS, RATE = 131072, 256, 1, 0.02
 SHAPES = {
     "emb": (CLASSES, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "o": (DIM, DIM), "rel": (2 * STRIDE,),
     "w1": (DIM, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, DIM), "out": (DIM, CLASSES), "bias": (CLASSES,),
@@ -43,9 +44,9 @@ def initial(seed: int = 0) -> dict[str, np.ndarray]:
     return {k: (r.normal(0, 1 / np.sqrt(s[0]) if len(s) > 1 else 0, s)).astype(np.float32) for k, s in SHAPES.items()}
 
 
-def word_shapes(vocabulary: int) -> dict[str, tuple]:
-    """Vectors of leaves as outputs, and of subwords as inputs and as outputs."""
-    return {"sub": (CLASSES - 1 - OWN, LEAVES, DIM), "word": (vocabulary, DIM), "leaf": (vocabulary, DIM)}
+def word_shapes(vocabulary: int, places: int) -> dict[str, tuple]:
+    """Vectors of leaves and places as outputs, and of subwords as inputs."""
+    return {"sub": (CLASSES - 1 - OWN, LEAVES, DIM), "place": (places, DIM), "word": (vocabulary, DIM)}
 
 
 def flat(p: dict, shapes: dict) -> np.ndarray:
@@ -106,24 +107,27 @@ def _tables(p: dict, emb: np.ndarray):
     return emb, emb @ p["q"] / np.float32(np.sqrt(DIM)), emb @ p["k"], emb @ p["v"]
 
 
-def _attend(p: dict, tables, x: np.ndarray, none: np.ndarray):
-    """Attention of windows (n, 2 STRIDE) of rows of the tables, at their last STRIDE positions; `none` marks PAD."""
-    emb, q, k, v = tables
-    q, k, v = q[x[:, STRIDE:]], k[x], v[x]
-    s = q @ k.transpose(0, 2, 1)
-    s += np.where(_CAUSAL, p["rel"][np.clip(_REL, 0, None)], np.float32(-1e9))
-    s += np.where(none, np.float32(-1e9), np.float32(0))[:, None, :]
-    s -= s.max(2, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(2, keepdims=True)
-    return emb, q, k, v, s, s @ v
+def _weights(p: dict, q: np.ndarray, k: np.ndarray, none: np.ndarray) -> np.ndarray:
+    """Attention of the last STRIDE positions of windows to all before them; `none` marks PAD."""
+    mask = np.where(_CAUSAL, p["rel"][np.clip(_REL, 0, None)], np.float32(-1e9))
+    some = np.flatnonzero(none.any(1))
+
+    def scores():
+        s = q @ k.transpose(0, 2, 1)
+        s += mask
+        s[some] += np.where(none[some], np.float32(-1e9), np.float32(0))[:, None, :]
+        return s
+
+    s, total, _ = _exps(scores)
+    s *= (1 / total)[..., None]
+    return s
 
 
 def hidden(p: dict, tables, x: np.ndarray) -> np.ndarray:
     """Context vectors (n STRIDE, DIM) after each of the last STRIDE inputs."""
-    emb, *_, ctx = _attend(p, tables, x, x == PAD)
-    h = emb[x[:, STRIDE:]] + ctx @ p["o"]
-    h = h.reshape(-1, DIM)
+    emb, q, k, v = tables
+    ctx = _weights(p, q[x[:, STRIDE:]], k[x], x == PAD) @ v[x]
+    h = emb[x[:, STRIDE:]].reshape(-1, DIM) + ctx.reshape(-1, DIM) @ p["o"]
     h += np.maximum(h @ p["w1"] + p["b1"], 0) @ p["w2"]
     return h
 
@@ -134,75 +138,80 @@ def forward(p: dict, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def class_log(p: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-    z = h @ p["out"]
-    z += p["bias"]
-    z -= z.max(1, keepdims=True)
-    at = z[np.arange(len(z)), y.ravel()]
-    np.exp(z, out=z)
-    return (at - np.log(z @ np.ones(CLASSES, np.float32))).reshape(y.shape)
+    return _log(lambda: h @ p["out"] + p["bias"], y.ravel()).reshape(y.shape)
 
 
-def _softmax(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probabilities at `at`, and all probabilities; z is used up."""
-    z -= z.max(1, keepdims=True)
-    got = z[np.arange(len(z)), at]
+def _exps(make) -> tuple[np.ndarray, np.ndarray, np.ndarray | np.float32]:
+    """Exponentials of the rows that make() gives, their sums, and what was taken off first: nothing where they fit into numbers as they are."""
+    z = make()
+    off = np.float32(0)
+    if z.size and z.max() > 60:
+        off = z.max(-1)
+        z -= off[..., None]
     np.exp(z, out=z)
-    total = z.sum(1)
-    z /= total[:, None]
-    return got - np.log(total), z
+    total = z @ np.ones(z.shape[-1], z.dtype)
+    if total.size and not total.min() > 1e-25:
+        z = make()
+        off = z.max(-1)
+        z -= off[..., None]
+        np.exp(z, out=z)
+        total = z @ np.ones(z.shape[-1], z.dtype)
+    return z, total, off
 
 
-def _log(z: np.ndarray, at) -> np.ndarray:
-    """Log probabilities at `at`; z is used up."""
-    z -= z.max(1, keepdims=True)
-    got = z[np.arange(len(z)), at]
-    np.exp(z, out=z)
-    return got - np.log(z @ np.ones(z.shape[1], z.dtype))
+def _softmax(make, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities at `at`, and all probabilities, of the rows that make() gives."""
+    z, total, _ = _exps(make)
+    z *= (1 / total)[:, None]
+    return np.log(np.maximum(z[np.arange(len(z)), at], 1e-30)), z
+
+
+def _log(make, at) -> np.ndarray:
+    """Log probabilities at `at` of the rows that make() gives."""
+    z, total, _ = _exps(make)
+    return np.log(np.maximum(z[np.arange(len(z)), at], 1e-30) / total)
 
 
 def within(p: dict, classes: Classes, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Log probability of each id within its class, given the context vectors h."""
     out = np.zeros(len(ids), np.float32)
-    rows = np.flatnonzero(classes.leaf[ids] >= 0)
-    rows = rows[np.argsort(classes.leaf[ids[rows]], kind="stable")]
-    leaf = classes.leaf[ids[rows]]
-    edges = np.flatnonzero(np.concatenate((np.ones(min(len(leaf), 1), bool), leaf[1:] != leaf[:-1], np.ones(min(len(leaf), 1), bool)))).tolist()
-    for a, z in zip(edges[:-1], edges[1:]):
-        one = int(leaf[a])
-        c, s = divmod(one, LEAVES)
-        members = classes.members[one]
-        members = members[members < len(p["leaf"])]
-        inner, outer = p["leaf"][members].T, p["sub"][c].T
-        for b in range(a, z, 4096):
-            r = rows[b : min(b + 4096, z)]
-            x = h[r]
-            out[r] = _log(x @ outer + classes.log_sub[c], s) + _log(x @ inner + classes.log_in[one, : len(members)], classes.place[ids[r]])
+    for r, c, s, leaf in _by_class(classes, ids):
+        for a in range(0, len(r), 4096):
+            x = h[r[a : a + 4096]]
+            at = slice(a, a + 4096)
+            out[r[at]] = _log(lambda: x @ p["sub"][c].T + classes.log_sub[c], s[at]) + _log(lambda: x @ p["place"].T + classes.log_in[leaf[at]], classes.place[ids[r[at]]])
     return out
 
 
+def _by_class(classes: Classes, ids: np.ndarray):
+    """For each class of several subwords that occurs: the rows of its subwords, its number, and their leaves in the class and in all."""
+    leaf = classes.leaf[ids]
+    rows = np.flatnonzero(leaf >= 0)
+    c, s = np.divmod(leaf[rows], LEAVES)
+    order = np.argsort(c.astype(np.int16), kind="stable")
+    rows, c, s = rows[order], c[order], s[order]
+    edges = np.searchsorted(c, np.arange(CLASSES - OWN))
+    for k, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+        if z > a:
+            yield rows[a:z], k, s[a:z], leaf[rows[a:z]]
+
+
 def _within_gradient(p: dict, classes: Classes, h: np.ndarray, ids: np.ndarray):
-    """Of within(): its value, and what the gradient of its negative sum is, for h, for leaves, and for (numbers, rows) of subwords."""
-    out, dh, dsub = np.zeros(len(ids), h.dtype), np.zeros_like(h), np.zeros(p["sub"].shape, h.dtype)
-    rows = np.flatnonzero(classes.leaf[ids] >= 0)
-    leaf = classes.leaf[ids[rows]]
-    c, s = np.divmod(leaf, LEAVES)
-    for k in np.unique(c):
-        m = c == k
-        r = rows[m]
-        out[r], e = _softmax(h[r] @ p["sub"][k].T + classes.log_sub[k], s[m])
-        e[np.arange(len(r)), s[m]] -= 1
-        dsub[k] = e.T @ h[r]
-        dh[r] = e @ p["sub"][k]
-    members = classes.members[leaf]
-    vectors = p["leaf"][np.minimum(members, len(p["leaf"]) - 1)]
-    place = classes.place[ids[rows]]
-    lp, e = _softmax((vectors @ h[rows][:, :, None])[:, :, 0] + classes.log_in[leaf], place)
-    out[rows] += lp
-    e[np.arange(len(rows)), place] -= 1
-    dh[rows] += (e[:, None, :] @ vectors)[:, 0]
-    real = members < len(p["leaf"])
-    own = np.broadcast_to(rows[:, None], members.shape)[real]
-    return out, dh, dsub, members[real], e[real][:, None] * h[own]
+    """Of within(): its value, and what the gradient of its negative sum is, for h, leaves and places."""
+    out, dh = np.zeros(len(ids), h.dtype), np.zeros_like(h)
+    dsub, dplace = np.zeros(p["sub"].shape, h.dtype), np.zeros(p["place"].shape, h.dtype)
+    for r, c, s, leaf in _by_class(classes, ids):
+        x, n = h[r], np.arange(len(r))
+        lp, e = _softmax(lambda: x @ p["sub"][c].T + classes.log_sub[c], s)
+        e[n, s] -= 1
+        dsub[c] = e.T @ x
+        d = e @ p["sub"][c]
+        place = classes.place[ids[r]]
+        more, e = _softmax(lambda: x @ p["place"].T + classes.log_in[leaf], place)
+        e[n, place] -= 1
+        dplace += e.T @ x
+        out[r], dh[r] = lp + more, d + e @ p["place"]
+    return out, dh, dsub, dplace
 
 
 def _sums(at: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,81 +229,77 @@ def gradient(p: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
 
 
 def word_gradient(p: dict, classes: Classes, x: np.ndarray, ids: np.ndarray) -> tuple[float, dict, dict]:
-    """Mean loss over ids (n, STRIDE; -1 for none) after inputs x, its gradient, and those of subwords' vectors as (numbers, rows)."""
+    """Mean loss over ids (n, STRIDE; -1 for none) after inputs x, its gradient, and that of subwords' vectors as (numbers, rows)."""
     used, at = np.unique(x, return_inverse=True)
     y = np.where(ids >= 0, classes.of[np.maximum(ids, 0)], PAD)
     loss, g, demb = _gradient(p, _vectors(p, classes.of, used), at.reshape(x.shape), x == PAD, y, classes, ids)
     word = used >= FIRST
     g["emb"] = np.zeros((CLASSES, DIM), demb.dtype)
     np.add.at(g["emb"], np.where(word, classes.of[np.maximum(used - FIRST, 0)], used)[used != PAD], demb[used != PAD])
-    return loss, g, {"word": (used[word] - FIRST, demb[word]), "leaf": g.pop("leaf")}
+    return loss, g, {"word": (used[word] - FIRST, demb[word])}
 
 
 def _gradient(p: dict, table: np.ndarray, x: np.ndarray, none: np.ndarray, y: np.ndarray, classes: Classes | None = None, ids: np.ndarray | None = None):
-    emb, q, k, v, a, ctx = _attend(p, _tables(p, table), x, none)
-    n = len(x)
-    xq = x[:, STRIDE:]
-    h0 = (emb[xq] + ctx @ p["o"]).reshape(-1, DIM)
+    n, scale = len(x), np.float32(1 / np.sqrt(DIM))
+    emb = table[x]
+    every, last = emb.reshape(-1, DIM), emb[:, STRIDE:].reshape(-1, DIM)
+    q, k, v = (last @ p["q"] * scale).reshape(n, STRIDE, DIM), (every @ p["k"]).reshape(emb.shape), (every @ p["v"]).reshape(emb.shape)
+    a = _weights(p, q, k, none)
+    ctx = (a @ v).reshape(-1, DIM)
+    h0 = last + ctx @ p["o"]
     u = h0 @ p["w1"] + p["b1"]
     r = np.maximum(u, 0)
     h = h0 + r @ p["w2"]
-    z = h @ p["out"] + p["bias"]
-    z -= z.max(1, keepdims=True)
-    e = np.exp(z)
-    e /= e.sum(1, keepdims=True)
     t = y.ravel()
     on = t != PAD
     t = np.where(on, t, 0)
     m = max(int(on.sum()), 1)
-    loss = -np.log(np.maximum(e[np.arange(len(t)), t], 1e-30))[on].sum() / m
+    lp, e = _softmax(lambda: h @ p["out"] + p["bias"], t)
+    loss = -lp[on].sum() / m
     e[np.arange(len(t)), t] -= 1
     e *= (on / m)[:, None].astype(np.float32)
     g = {"out": h.T @ e, "bias": e.sum(0)}
     dh = e @ p["out"].T
     if classes is not None:
         rows = np.flatnonzero(on)
-        lp, more, g["sub"], at, d = _within_gradient(p, classes, h[rows], ids.ravel()[rows])
+        lp, more, g["sub"], g["place"] = _within_gradient(p, classes, h[rows], ids.ravel()[rows])
         loss -= lp.sum() / m
         dh[rows] += more / np.float32(m)
         g["sub"] /= np.float32(m)
-        at, d = _sums(at, d)
-        g["leaf"] = at, d / np.float32(m)
+        g["place"] /= np.float32(m)
     dr = (dh @ p["w2"].T) * (u > 0)
     g |= {"w2": r.T @ dh, "w1": h0.T @ dr, "b1": dr.sum(0)}
-    dh0 = (dh + dr @ p["w1"].T).reshape(n, STRIDE, DIM)
-    g["o"] = ctx.reshape(-1, DIM).T @ dh0.reshape(-1, DIM)
-    dctx = dh0 @ p["o"].T
-    dv = a.transpose(0, 2, 1) @ dctx
+    dh0 = dh + dr @ p["w1"].T
+    g["o"] = ctx.T @ dh0
+    dctx = (dh0 @ p["o"].T).reshape(n, STRIDE, DIM)
+    dv = (a.transpose(0, 2, 1) @ dctx).reshape(-1, DIM)
     da = dctx @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    g["rel"] = np.bincount(np.clip(_REL, 0, None)[_CAUSAL], weights=ds.sum(0)[_CAUSAL], minlength=2 * STRIDE)
-    dq, dk = ds @ k / np.float32(np.sqrt(DIM)), ds.transpose(0, 2, 1) @ q
-    tables = {}
-    for name, d, at in (("q", dq, xq), ("k", dk, x), ("v", dv, x), ("emb", dh0, xq)):
-        tables[name] = np.zeros((len(emb), DIM), d.dtype)
-        rows, sums = _sums(at.ravel(), d.reshape(-1, DIM))
-        tables[name][rows] = sums
-    demb = tables["emb"].copy()
-    for name in "qkv":
-        g[name] = emb.T @ tables[name]
-        demb += tables[name] @ p[name].T
+    da -= (dctx.reshape(-1, DIM) * ctx).sum(1).reshape(n, STRIDE, 1)
+    da *= a
+    g["rel"] = np.bincount(np.clip(_REL, 0, None)[_CAUSAL], weights=da.sum(0)[_CAUSAL], minlength=2 * STRIDE)
+    dq, dk = (da @ k).reshape(-1, DIM) * scale, (da.transpose(0, 2, 1) @ q).reshape(-1, DIM)
+    g |= {"q": last.T @ dq, "k": every.T @ dk, "v": every.T @ dv}
+    d = (dk @ p["k"].T + dv @ p["v"].T).reshape(emb.shape)
+    d[:, STRIDE:] += (dh0 + dq @ p["q"].T).reshape(n, STRIDE, DIM)
+    demb = np.zeros_like(table)
+    rows, sums = _sums(x.ravel(), d.reshape(-1, DIM))
+    demb[rows] = sums
     return float(loss), g, demb
 
 
 def train(p: dict, classes: Classes, x: np.ndarray, ids: np.ndarray, seed: int, rate: float = RATE) -> dict:
-    """One pass over the windows, by Adam; vectors of subwords move when they are met, as outputs only those that these windows hold."""
+    """One pass over the windows, by Adam; vectors of subwords move when they are met."""
     order = np.random.default_rng(seed).permutation(len(x))
     p = {k: v.copy() for k, v in p.items()}
     m, s = ({k: np.zeros(v.shape, np.float32) for k, v in p.items()} for _ in range(2))
-    held = np.zeros(len(p["word"]), bool)
-    held[ids[ids >= 0]] = True
     for i, at in enumerate(range(0, len(order), BATCH), 1):
         b = order[at : at + BATCH]
         _, g, rows = word_gradient(p, classes, x[b], ids[b])
-        for k, r, d in [(k, ..., g[k]) for k in g] + [(k, r[held[r]], d[held[r]]) for k, (r, d) in rows.items()]:
-            m[k][r] = 0.9 * m[k][r] + 0.1 * d
-            s[k][r] = 0.99 * s[k][r] + 0.01 * d**2
-            p[k][r] -= (rate * (m[k][r] / (1 - 0.9**i)) / (np.sqrt(s[k][r] / (1 - 0.99**i)) + 1e-8)).astype(np.float32)
+        step, lift = np.float32(rate / (1 - 0.9**i)), np.float32(1 / (1 - 0.99**i))
+        for k, r, d in [(k, ..., g[k]) for k in g] + [(k, r, d) for k, (r, d) in rows.items()]:
+            m[k][r] = now = np.float32(0.9) * m[k][r] + np.float32(0.1) * d
+            s[k][r] = square = np.float32(0.99) * s[k][r] + np.float32(0.01) * np.square(d)
+            p[k][r] -= step * now / (np.sqrt(square * lift) + np.float32(1e-8))
     return p
 
 
@@ -323,38 +328,59 @@ def windows(inputs: np.ndarray, first: np.ndarray, chosen: np.ndarray | None = N
     return (x, y) if chosen is None else (x[chosen], y[chosen])
 
 
-def _gather(path: str):
-    """Counts of subwords (kind 0) and training windows as ids (kind 1) from texts."""
+def _tokenize(path: str):
+    """(doc_id, ids) of all texts: subword ids as two or four bytes each."""
 
     def run(batches):
-        tok, total = Subwords(path), None
+        tok = Subwords(path)
         for b in batches:
-            for a in range(0, b.num_rows, 2000):
-                ids, first = tok.ids(b.column(1).slice(a, 2000))
-                c = np.bincount(ids, minlength=tok.size)
-                total = c if total is None else total + c
-                # One block of EVERY, from a place in the first of them that follows from the text's own ids.
-                _, blocks, begin = layout(first)
-                has = blocks > 0
-                sums = np.concatenate(([0], np.cumsum(ids, dtype=np.int64)))
-                lag = (mix((sums[first[1:]] - sums[first[:-1]]).view(np.uint64)) % np.maximum(np.minimum(blocks, EVERY), 1).astype(np.uint64)).astype(np.int64)
-                per = np.where(has, -(-(blocks - lag) // EVERY), 0)
-                nth = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-                chosen = np.repeat(begin[:-1] + lag, per) + nth * EVERY
-                # Ids from STRIDE + 1 before the block's targets to their end; -1 where there is none.
-                own = np.repeat(np.arange(len(blocks)), per)
-                at = (chosen - begin[:-1][own])[:, None] * STRIDE + np.arange(-STRIDE - 1, STRIDE)[None, :]
-                ok = (at >= 0) & (at < np.diff(first)[own][:, None])
-                w = np.where(ok, ids[np.minimum(np.maximum(at + first[:-1][own][:, None], 0), max(len(ids) - 1, 0))] if len(ids) else -1, -1).astype(np.int32)
-                if len(w):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(w), np.int32)), pa.nulls(len(w), pa.int32()), pa.nulls(len(w), pa.int64()), pa.array([r.tobytes() for r in w], pa.binary())], names=["kind", "id", "n", "ids"])
-        if total is not None:
-            i = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(i), np.int32)), pa.array(i.astype(np.int32)), pa.array(total[i]), pa.nulls(len(i), pa.binary())], names=["kind", "id", "n", "ids"])
+            _, off = buffers(b.column(1))
+            for a, z in pieces(off, 1 << 20):
+                ids, first = tok.ids(b.column(1).slice(a, z - a))
+                raw = ids.astype(_width(tok.size)).tobytes()
+                w = _width(tok.size)().itemsize
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array([raw[i * w : j * w] for i, j in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary())], names=["doc_id", "ids"])
 
     return run
 
 
+def _width(vocabulary: int):
+    return np.uint16 if vocabulary <= 1 << 16 else np.uint32
+
+
+def _texts(batches, vocabulary: int, column: str = "ids"):
+    """Runs of rows of about half a million subwords: their batch, the first one's number, and ids and where each text's begin."""
+    w = _width(vocabulary)().itemsize
+    for b in batches:
+        raw = b.column(b.schema.get_field_index(column)).cast(pa.large_binary())
+        off = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+        data = raw.buffers()[2]
+        ids = np.frombuffer(data, _width(vocabulary))[off[0] // w : off[-1] // w] if data is not None else np.zeros(0, _width(vocabulary))
+        first = (off - off[0]) // w
+        for a, z in pieces(first, 1 << 19):
+            yield b, a, ids[first[a] : first[z]].astype(np.int64), first[a : z + 1] - first[a]
+
+
+def _count(vocabulary: int):
+    def run(batches):
+        total = np.zeros(vocabulary, np.int64)
+        for _, _, ids, _ in _texts(batches, vocabulary):
+            total += np.bincount(ids, minlength=vocabulary)
+        i = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(total[i])], names=["id", "n"])
+
+    return run
+
+
+def training_windows(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """All blocks of all texts as ids (blocks, 2 STRIDE + 1), from STRIDE + 1 before a block's targets to their end; -1 where there is none."""
+    _, blocks, begin = layout(first)
+    own = np.repeat(np.arange(len(blocks)), blocks)
+    at = (np.arange(begin[-1]) - begin[:-1][own])[:, None] * STRIDE + np.arange(-STRIDE - 1, STRIDE)[None, :]
+    ok = (at >= 0) & (at < np.diff(first)[own][:, None])
+    return np.where(ok, ids[np.clip(at + first[:-1][own][:, None], 0, len(ids) - 1)], -1).astype(np.int32)
+
+
 def _window_inputs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Inputs and targets' ids from ids (n, 2 STRIDE + 1) of training windows."""
     x, y = np.where(ids >= 0, ids + FIRST, PAD)[:, :-1], ids[:, -STRIDE:]
@@ -366,41 +392,52 @@ def _window_inputs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x, y
 
 
-def _train_shard(p: dict, classes: Classes, shapes: dict, seed: int):
-    """A shard's windows to their number and the weights they lead to, in millionths: sums of whole numbers don't depend on order. Vectors of subwords are given only where the shard has the subword."""
-
-    def run(part: pa.Table) -> pa.Table:
-        ids = np.frombuffer(b"".join(sorted(part["ids"].to_pylist())), np.int32).reshape(-1, 2 * STRIDE + 1)
-        x, y = _window_inputs(ids)
-        got = train(p, classes, x, y, seed)
-        held = np.unique(ids[ids >= 0])
-        v, at, base = [], [], 0
-        for k, s in shapes.items():
-            size = int(np.prod(s))
-            i = (held[:, None] * DIM + np.arange(DIM)).ravel() if k in ("word", "leaf") else np.arange(size)
-            at.append(base + i)
-            v.append(np.rint(got[k].ravel()[i] * 1e6).astype(np.int64))
-            base += size
-        rows = lambda a, t: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a, t))
-        return pa.table({"n": pa.array([len(ids)], pa.int64()), "i": rows(np.concatenate(at), pa.int32()), "v": rows(np.concatenate(v), pa.int64())})
+def _train_shards(p: dict, classes: Classes, shapes: dict, seed: int):
+    """All windows of a task, in shards of SHARD, to the number of windows and the sum over these of the weights, in millionths: sums of whole numbers don't depend on order. Vectors of subwords are given only where a window has the subword."""
+    vocabulary = len(p["word"])
+
+    def run(batches):
+        total, n, met, held = {k: np.zeros(s, np.int64) for k, s in shapes.items()}, 0, np.zeros(vocabulary, np.int64), []
+
+        def shard(w):
+            nonlocal n
+            got = train(p, classes, *_window_inputs(w), seed)
+            here = np.unique(w[w >= 0])
+            for k in shapes:
+                at = here if k == "word" else slice(None)
+                total[k][at] += np.rint(got[k][at].astype(np.float64) * 1e6).astype(np.int64) * len(w)
+            n += len(w)
+            met[here] += len(w)
+
+        for _, _, ids, first in _texts(batches, vocabulary):
+            if len(ids):
+                held.append(training_windows(ids, first))
+            while sum(map(len, held)) >= SHARD:
+                every = np.concatenate(held)
+                shard(every[:SHARD])
+                held = [every[SHARD:]]
+        if sum(map(len, held)):
+            shard(np.concatenate(held))
+        if n:
+            sums = flat(total, shapes).astype(np.int64)
+            weight = np.concatenate([np.repeat(met, DIM) if k == "word" else np.full(total[k].size, n) for k in shapes])
+            i = np.flatnonzero(weight)
+            rows = lambda a, t: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a, t))
+            yield pa.RecordBatch.from_arrays([rows(i, pa.int32()), rows(weight[i], pa.int64()), rows(sums[i], pa.int64())], names=["i", "n", "v"])
 
     return run
 
 
-def fit(docs: DataFrame, path: str = TOKENIZER, rounds: int = ROUNDS) -> tuple[Classes, dict]:
-    gathered = settle(docs.select("doc_id", "text").mapInArrow(_gather(path), "kind int, id int, n bigint, ids binary"))
-    counts = gathered.where("kind = 0").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    vocabulary = Subwords(path).size
+def fit(coded: DataFrame, vocabulary: int, rounds: int = ROUNDS) -> tuple[Classes, dict]:
+    """The model of settled (doc_id, ids). What comes back to the driver is one number for each weight."""
+    counts = coded.select("ids").mapInArrow(_count(vocabulary), "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     classes = Classes(np.array(counts["id"], np.int64), np.array(counts["n"], np.int64), vocabulary)
-    w = gathered.where("kind = 1")
-    shards = max(1, -(-w.count() // SHARD))
-    dealt = w.select("ids", F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int").alias("shard"))
-    words = word_shapes(vocabulary)
+    words = word_shapes(vocabulary, classes.members.shape[1])
     shapes = SHAPES | words
     p = initial() | {k: np.zeros(s, np.float32) for k, s in words.items()}
     for r in range(rounds):
-        got = dealt.groupBy("shard").applyInArrow(_train_shard(p, classes, shapes, r), "n bigint, i array<int>, v array<bigint>")
-        mean = got.select("n", F.explode(F.arrays_zip("i", "v")).alias("z")).select("n", "z.i", "z.v").groupBy("i").agg((F.sum(F.col("v").cast("decimal(38,0)") * F.col("n")) / F.sum("n")).cast("double").alias("v")).toArrow()
+        got = coded.select("ids").mapInArrow(_train_shards(p, classes, shapes, r), "i array<int>, n array<bigint>, v array<bigint>")
+        mean = got.select(F.inline(F.arrays_zip("i", "n", "v"))).groupBy("i").agg((F.sum(F.col("v").cast("decimal(38,0)")) / F.sum("n")).cast("double").alias("v")).toArrow()
         if not mean.num_rows:
             break
         x = flat(p, shapes).astype(float)
@@ -441,22 +478,20 @@ def score(docs: DataFrame, path: str = TOKENIZER, rounds: int = ROUNDS) -> DataF
     A null or blank text has no subwords: n_tokens is 0 and the others are null. Repeated rows are
     trained on and scored each time. Other columns are ignored; an empty table gives an empty table.
     """
-    classes, p = fit(docs, path, rounds)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    coded = settle(docs.select("doc_id", "text").mapInArrow(_tokenize(path), f"doc_id {kind}, ids binary"))
+    vocabulary = Subwords(path).size
+    classes, p = fit(coded, vocabulary, rounds)
 
     def run(batches):
-        tok = Subwords(path)
-        for b in batches:
-            for a in range(0, b.num_rows, 2000):
-                part = b.slice(a, 2000)
-                ids, first = tok.ids(part.column(1))
-                n = np.diff(first)
-                lp = np.concatenate(([0.0], np.cumsum(log_probabilities(ids, first, classes, p), dtype=np.float64))) if len(ids) else np.zeros(1)
-                nll = -(lp[first[1:]] - lp[first[:-1]]) / np.maximum(n, 1)
-                none = n == 0
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(nll, mask=none), pa.array(np.exp(nll), mask=none)], names=["doc_id", "n_tokens", "nll", "perplexity"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, nll double, perplexity double")
+        for b, a, ids, first in _texts(batches, vocabulary):
+            n = np.diff(first)
+            lp = np.concatenate(([0.0], np.cumsum(log_probabilities(ids, first, classes, p), dtype=np.float64))) if len(ids) else np.zeros(1)
+            nll = -(lp[first[1:]] - lp[first[:-1]]) / np.maximum(n, 1)
+            none = n == 0
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(a, len(n)), pa.array(n), pa.array(nll, mask=none), pa.array(np.exp(nll), mask=none)], names=["doc_id", "n_tokens", "nll", "perplexity"])
+
+    return coded.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, nll double, perplexity double")
 
 
 def query(spark, sf_dir):

@@ -93,7 +93,7 @@ def test_scores(spark, words, clashing, empty, odd_rows):
 
 def word_model(classes, vocabulary, seed):
     r = np.random.default_rng(seed)
-    return model(seed) | {k: r.normal(0, 0.3, s).astype(np.float32) for k, s in lm.word_shapes(vocabulary).items()}
+    return model(seed) | {k: r.normal(0, 0.3, s).astype(np.float32) for k, s in lm.word_shapes(vocabulary, classes.members.shape[1]).items()}
 
 
 def test_every_subword_depends_on_the_context():
@@ -139,7 +139,62 @@ def test_word_gradient():
 def test_training_windows_cover_every_subword(words):
     texts = [words(5000, 21), words(3, 22), None, words(40, 23), words(700, 24)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], names=["doc_id", "text"])
-    rows = pa.Table.from_batches(list(lm._gather(TOKENIZER)(iter([batch])))).to_pylist()
-    targets = np.concatenate([np.frombuffer(r["ids"], np.int32)[-lm.STRIDE :] for r in rows if r["kind"] == 1])
-    ids, _ = Subwords().ids(pa.array(texts))
-    assert np.array_equal(np.sort(targets[targets >= 0]), np.sort(ids))
+    coded = list(lm._tokenize(TOKENIZER)(iter([batch])))
+    ids, first = Subwords().ids(pa.array(texts))
+    got = list(lm._texts(iter(coded), Subwords().size))
+    assert np.array_equal(np.concatenate([g[2] for g in got]), ids) and sum(len(g[3]) - 1 for g in got) == 5
+    w = lm.training_windows(ids, first)
+    assert np.array_equal(np.sort(w[:, -lm.STRIDE :][w[:, -lm.STRIDE :] >= 0]), np.sort(ids))
+    x, y = lm._window_inputs(w)
+    wx, wy = lm.windows(ids + lm.FIRST, first)
+    assert np.array_equal(x, wx) and np.array_equal(np.where(y >= 0, y + lm.FIRST, lm.PAD), wy)
+
+
+def text_ids(r, n, vocabulary=300):
+    """Subwords that follow from the last two, with noise: what two subwords say together, neither says alone."""
+    out = [int(r.integers(vocabulary))]
+    out.append(int(r.integers(vocabulary)))
+    for _ in range(n - 2):
+        out.append((3 * out[-1] + 7 * out[-2]) % 40 if r.random() < 0.85 else int(r.integers(vocabulary)))
+    return out
+
+
+def coded(spark, texts):
+    return spark.createDataFrame([(i, bytearray(np.array(t, np.uint16).tobytes())) for i, t in enumerate(texts)], "doc_id int, ids binary")
+
+
+def test_fit_is_the_mean_of_its_shards(spark, monkeypatch):
+    """Against the same training done by hand."""
+    monkeypatch.setattr(lm, "SHARD", 40)
+    r = np.random.default_rng(3)
+    texts = [text_ids(r, 100) for _ in range(12)]
+    classes, p = lm.fit(coded(spark, texts).coalesce(1), 300)
+    ids, first = np.concatenate(texts), np.arange(0, 1201, 100)
+    w = lm.training_windows(ids, first)
+    start = lm.initial() | {k: np.zeros(s, np.float32) for k, s in lm.word_shapes(300, classes.members.shape[1]).items()}
+    parts = [w[a : a + 40] for a in range(0, len(w), 40)]
+    got = [lm.train(start, classes, *lm._window_inputs(x), 0) for x in parts]
+    for k in p:
+        if k != "word":
+            assert np.abs(p[k] - sum(g[k] * len(x) for g, x in zip(got, parts)) / len(w)).max() < 1e-4, k
+    has = [np.isin(np.arange(300), x) for x in parts]
+    n = sum(h * len(x) for h, x in zip(has, parts))
+    want = sum(g["word"] * (h * len(x))[:, None] for g, h, x in zip(got, has, parts)) / np.maximum(n, 1)[:, None]
+    assert np.abs(p["word"] - want).max() < 1e-4
+
+
+def test_held_out_texts_are_predicted_better_than_by_bigrams():
+    r = np.random.default_rng(11)
+    make = lambda n: ([t := [text_ids(r, 200) for _ in range(n)], np.concatenate(t)][1], np.arange(0, 200 * n + 1, 200))
+    (ids, first), (other, begin) = make(1500), make(60)
+    u, c = np.unique(ids, return_counts=True)
+    classes = lm.Classes(u, c, 300)
+    p = lm.initial() | {k: np.zeros(s, np.float32) for k, s in lm.word_shapes(300, classes.members.shape[1]).items()}
+    for k in range(3):
+        p = lm.train(p, classes, *lm._window_inputs(lm.training_windows(ids, first)), k)
+    ours = -lm.log_probabilities(other, begin, classes, p).mean()
+    one = np.bincount(ids, minlength=300) / len(ids)
+    two = np.zeros((300, 300))
+    np.add.at(two, (ids[:-1], ids[1:]), 1)
+    bigram = 0.9 * two / np.maximum(two.sum(1, keepdims=True), 1) + 0.1 * (0.9 * one + 0.1 / 300)
+    assert ours < -np.log(bigram[other[:-1], other[1:]]).mean() - 0.02
