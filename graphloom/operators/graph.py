@@ -1,7 +1,8 @@
 """Graphs as edge tables (src, dst, and where it matters type and weight).
 
-Closures run as joins whose rounds grow with the logarithm of depth (all pairs) or with depth (from
-given nodes); every round is settled, so plans stay small and nothing is collected.
+Closures and chains run as joins whose rounds grow with the logarithm of depth, searches from given
+nodes take LEVELS steps to a round; every round is settled, so plans stay small and nothing is
+collected. No depth is cut off: rounds end when nothing new is found.
 """
 
 from __future__ import annotations
@@ -9,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.storage import settle
+from graphloom.storage import discard, settle
+
+#: Steps of a search that are one job, and rounds after which what was seen becomes one table.
+LEVELS, MERGE = 4, 8
 
 
 def edges_from_arrays(df: DataFrame, node: str, targets: str, kind: str) -> DataFrame:
@@ -39,33 +43,51 @@ def reverse(edges: DataFrame) -> DataFrame:
 def closure(edges: DataFrame) -> DataFrame:
     """(src, dst, depth): all pairs with a path, and the least number of steps; a node reaches itself only by a cycle.
 
-    Paths are doubled, so the rounds are the logarithm of the longest shortest path.
+    A round that knows all pairs up to depth n joins those of depth n itself with all, which finds
+    each pair up to 2 n by its first n steps and the rest: nothing known is joined again.
     """
-    pairs = settle(edges.where("src is not null and dst is not null").select("src", "dst").distinct().withColumn("depth", F.lit(1)))
-    n = pairs.count()
+    known = settle(edges.where("src is not null and dst is not null").select("src", "dst").distinct().withColumn("depth", F.lit(1)))
+    n = 1
     while True:
-        left, right = pairs.alias("a"), pairs.alias("b")
-        longer = left.join(right, F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        now = settle(pairs.unionByName(longer).groupBy("src", "dst").agg(F.min("depth").alias("depth")))
-        m = now.agg(F.count(F.lit(1)).alias("n"), F.sum("depth").alias("d")).first()
-        if (m["n"], m["d"]) == n:
-            return now
-        pairs, n = now, (m["n"], m["d"])
+        first, rest = known.where(F.col("depth") == n).alias("a"), known.alias("b")
+        longer = first.join(rest, F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst", (F.lit(n) + F.col("b.depth")).alias("depth"))
+        new = settle(longer.groupBy("src", "dst").agg(F.min("depth").alias("depth")).join(known.select("src", "dst"), ["src", "dst"], "left_anti"))
+        if new.isEmpty():
+            return known
+        known, n = known.unionByName(new), 2 * n
 
 
-def reachable(edges: DataFrame, starts: DataFrame, include_start: bool = False, max_depth: int | None = None) -> DataFrame:
-    """(start, node, depth) by breadth-first rounds from `starts` (node); a start counts as reached only on a cycle, unless included."""
-    e = settle(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
-    front = settle(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0)))
-    seen, depth = front.where(F.lit(include_start)), 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        step = front.join(e, front["node"] == e["src"]).select("start", F.col("dst").alias("node")).distinct()
-        front = settle(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+def _search(front: DataFrame, seen: DataFrame, e: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
+    """`seen` and all that edges (at, to) lead to from `front`, each of (start,) node with its least depth; LEVELS steps to a job.
+
+    `front` has keys and depth, and its nodes at the greatest depth are those from which the search goes on.
+    """
+    depth, parts = 0, 0
+    front = front.select(*keys, "depth")
+    while most is None or depth < most:
+        steps, at = [], front
+        for _ in range(LEVELS if most is None else min(LEVELS, most - depth)):
+            depth += 1
+            at = at.join(e, F.col("node") == F.col("at")).select(*[k for k in keys if k != "node"], F.col("to").alias("node")).distinct().withColumn("depth", F.lit(depth))
+            steps.append(at.select(*keys, "depth"))
+        found = steps[0]
+        for x in steps[1:]:
+            found = found.unionByName(x)
+        new = settle(found.groupBy(*keys).agg(F.min("depth").alias("depth")).join(seen.select(*keys), keys, "left_anti"))
+        front = new.where(F.col("depth") == depth)
+        seen, parts = seen.unionByName(new), parts + 1
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
-    return settle(seen)
+        if parts % MERGE == 0:
+            seen = settle(seen)
+    return seen
+
+
+def reachable(edges: DataFrame, starts: DataFrame, include_start: bool = False, max_depth: int | None = None) -> DataFrame:
+    """(start, node, depth) by breadth-first search from `starts` (node); a start counts as reached only on a cycle, unless included."""
+    e = settle(edges.where("src is not null and dst is not null").select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct())
+    front = settle(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0)))
+    return _search(front, front.where(F.lit(include_start)), e, ["start", "node"], max_depth)
 
 
 def ancestors(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -82,60 +104,80 @@ def trace(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def depths_from_roots(edges: DataFrame) -> DataFrame:
-    """(node, depth): steps from the nearest node without outgoing edge; nodes that only lead into cycles have none."""
-    e = edges.select("src", "dst").distinct()
-    roots = e.select(F.col("dst").alias("node")).distinct().join(e.select(F.col("src").alias("node")), "node", "left_anti")
-    front = settle(roots.withColumn("depth", F.lit(0)))
-    seen, depth, e = front, 0, settle(e)
+    """(node, depth): steps from the nearest node without outgoing edge; nodes that only lead into cycles have none.
+
+    Where no node has several parents, pointers are doubled, so the rounds are the logarithm of the depth; else the search goes down by levels.
+    """
+    e = settle(edges.select("src", "dst").distinct())
+    roots = settle(e.select(F.col("dst").alias("node")).distinct().join(e.select(F.col("src").alias("node")), "node", "left_anti").withColumn("depth", F.lit(0)))
+    if not e.groupBy("src").count().where("count > 1").isEmpty():
+        return _search(roots, roots, e.select(F.col("dst").alias("at"), F.col("src").alias("to")), ["node"])
+    up, most = settle(e.select(F.col("src").alias("node"), F.col("dst").alias("tip"), F.lit(1).cast("bigint").alias("steps"))), e.count()
     while True:
-        depth += 1
-        step = front.join(e, front["node"] == e["dst"]).select(F.col("src").alias("node")).distinct()
-        front = settle(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
-            return settle(seen)
-        seen = seen.unionByName(front)
+        j = up.join(up.select(F.col("node").alias("tip"), F.col("tip").alias("on"), F.col("steps").alias("more")), "tip", "left")
+        before, up = up, settle(j.select("node", F.coalesce("on", "tip").alias("tip"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+        discard(before)
+        # Who hasn't come to a root after more steps than there are edges goes round in a cycle.
+        if up.join(roots.select(F.col("node").alias("tip")), "tip", "left_anti").where(F.col("steps") <= most).isEmpty():
+            return roots.unionByName(up.join(roots.select(F.col("node").alias("tip")), "tip", "left_semi").select("node", F.col("steps").cast("int").alias("depth")))
+
 
+def chain(edges: DataFrame) -> DataFrame:
+    """(node, chain): each node followed by its single parents up to the last one known; a cycle ends where it closes.
 
-def chain(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(node, chain): each node followed by its single parents up to the last one known; a cycle ends where it closes."""
+    Chains are doubled. From where one comes back to a node it only repeats itself, so what is distinct of it, in order, is the whole chain.
+    """
     up = settle(edges.groupBy("src").agg(F.min("dst").alias("dst")))
-    nodes = up.select(F.col("src").alias("node"), F.array("src", "dst").alias("chain"))
-    todo, done = settle(nodes), None
-    for _ in range(most):
-        nxt = todo.join(up, F.element_at("chain", -1) == F.col("src"), "left")
-        more = F.col("dst").isNotNull() & ~F.array_contains("chain", F.col("dst"))
-        ended = nxt.where(~more | F.col("dst").isNull()).select("node", "chain")
-        going = nxt.where(more).select("node", F.array_append("chain", F.col("dst")).alias("chain"))
-        both = settle(ended.withColumn("end", F.lit(True)).unionByName(going.withColumn("end", F.lit(False))))
-        part = both.where("end").select("node", "chain")
-        done = part if done is None else done.unionByName(part)
-        todo = both.where("not end").select("node", "chain")
-        if todo.isEmpty():
-            return done
-    return done.unionByName(todo)
-
-
-def cycles(edges: DataFrame, longest: int = 6) -> DataFrame:
-    """(cycle, length): elementary cycles of at most `longest` nodes, each once, from its least node round to it again."""
-    e = settle(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    going, done = up.select(F.col("src").alias("node"), F.array_distinct(F.array("src", "dst")).alias("chain"), (F.col("src") != F.col("dst")).alias("open")), None
+    every = settle(going)
+    while True:
+        tail = every.select(F.col("node").alias("tip"), F.col("chain").alias("more"), F.col("open").alias("on"))
+        j = every.where("open").join(tail, F.element_at("chain", -1) == F.col("tip"), "left")
+        both = F.concat("chain", F.slice("more", 2, F.size("more")))
+        now = j.select("node", F.when(F.col("more").isNull(), F.col("chain")).otherwise(F.array_distinct(both)).alias("chain"), F.coalesce(F.col("on") & (F.size(F.array_distinct(both)) == F.size(both)), F.lit(False)).alias("open"))
+        before, every = every, settle(now.unionByName(every.where("not open")))
+        discard(before)
+        if every.where("open").isEmpty():
+            return every.select("node", "chain")
+
+
+def on_paths_between(edges: DataFrame, rounds: int = 4) -> DataFrame:
+    """`edges` without some of those that can't be on a cycle: for a few rounds, ends that nothing leads to or from are taken off."""
+    e = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
+    for _ in range(rounds):
+        e = e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        e = settle(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
+    return e
+
+
+def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
+    """(cycle, length): elementary cycles, each once, from its least node round to it again; of at most `longest` nodes where that is given.
+
+    There may be exponentially many; shortest_cycles() finds those that show each node's.
+    """
+    e = on_paths_between(edges)
     paths = e.where("dst >= src").select(F.col("src").alias("root"), F.array("src", "dst").alias("path"))
     found = paths.where("path[1] = root").select("path")
     paths = settle(paths.where("path[1] > root"))
-    for _ in range(longest - 1):
+    while not paths.isEmpty() and (longest is None or longest > 1):
         step = paths.join(e, F.element_at("path", -1) == F.col("src")).where((F.col("dst") == F.col("root")) | ((F.col("dst") > F.col("root")) & ~F.array_contains("path", F.col("dst"))))
         step = settle(step.select("root", F.array_append("path", F.col("dst")).alias("path"), (F.col("dst") == F.col("root")).alias("closed")))
         found = found.unionByName(step.where("closed").select("path"))
         paths = step.where("not closed").drop("closed")
-        if paths.isEmpty():
-            break
+        longest = None if longest is None else longest - 1
     return found.select(F.array_join("path", ">").alias("cycle"), (F.size("path") - 1).alias("length"))
 
 
+def shortest_cycles(edges: DataFrame) -> DataFrame:
+    """(node, length) of each node on a cycle, and the number of nodes of the shortest one through it."""
+    return closure(on_paths_between(edges)).where("src = dst").select(F.col("src").alias("node"), F.col("depth").alias("length"))
+
+
 def is_acyclic(edges: DataFrame) -> bool:
-    return closure(edges).where("src = dst").isEmpty()
+    return shortest_cycles(edges).isEmpty()
 
 
-def shortest_path(inheritance: DataFrame, mixins: DataFrame, start: str, end: str, most: int = 100) -> list[str] | None:
+def shortest_path(inheritance: DataFrame, mixins: DataFrame, start: str, end: str) -> list[str] | None:
     """Inheritance both ways and mixins forward; the least path by names among the shortest; None if there is none."""
     if start == end:
         return [start]
@@ -143,7 +185,7 @@ def shortest_path(inheritance: DataFrame, mixins: DataFrame, start: str, end: st
     spark = e.sparkSession
     front = spark.createDataFrame([(start, [start])], "node string, path array<string>")
     seen = front.select("node")
-    for _ in range(most):
+    while True:
         step = front.join(e, front["node"] == e["src"]).select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
         front = settle(step.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")))
         hit = front.where(F.col("node") == end).first()
@@ -151,11 +193,11 @@ def shortest_path(inheritance: DataFrame, mixins: DataFrame, start: str, end: st
             return list(hit["path"])
         if front.isEmpty():
             return None
-        seen = settle(seen.unionByName(front.select("node")))
-    return None
+        before, seen = seen, settle(seen.unionByName(front.select("node")))
+        discard(before)
 
 
-def traverse(edges: DataFrame, start: str, direction: str = "descendants", order: str = "bfs", most: int = 50) -> DataFrame:
+def traverse(edges: DataFrame, start: str, direction: str = "descendants", order: str = "bfs") -> DataFrame:
     """(node, depth, path) from one node; "descendants" follows edges backwards (to children), "ancestors" forwards.
 
     Breadth-first order is by depth and name; depth-first order is that of the paths.
@@ -163,13 +205,13 @@ def traverse(edges: DataFrame, start: str, direction: str = "descendants", order
     e = settle((reverse(edges) if direction == "descendants" else edges).select("src", "dst").distinct())
     front = e.sparkSession.createDataFrame([(start, 0, [start])], "node string, depth int, path array<string>")
     seen, d = front, 0
-    while d < most:
+    while not front.isEmpty():
         d += 1
         step = front.join(e, front["node"] == e["src"]).select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
         front = settle(step.join(seen.select("node"), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")).select("node", F.lit(d).alias("depth"), "path"))
-        if front.isEmpty():
-            break
         seen = seen.unionByName(front)
+        if d % MERGE == 0:
+            seen = settle(seen)
     return seen.orderBy("depth", "node") if order == "bfs" else seen.orderBy("path")
 
 

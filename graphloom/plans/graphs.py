@@ -53,7 +53,7 @@ WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM @calls),
 r(root, path, tip) AS (
   SELECT src, [src, dst], dst FROM e WHERE dst >= src
   UNION ALL SELECT root, list_append(path, e.dst), e.dst FROM r JOIN e ON r.tip = e.src
-  WHERE r.tip <> r.root AND len(path) <= 6 AND (e.dst = root OR (e.dst > root AND NOT list_contains(path, e.dst))))
+  WHERE r.tip <> r.root AND (e.dst = root OR (e.dst > root AND NOT list_contains(path, e.dst))))
 SELECT array_to_string(path, '>') AS cycle, (len(path) - 1)::INT AS length FROM r WHERE tip = root""")
 def _(t):
     return G.cycles(t("calls"))
@@ -91,13 +91,51 @@ def _(t):
     return G.traverse(t("inherits"), "Part1").select("node", "depth", F.array_join("path", ">").alias("path"))
 
 
-@query("shortest_path")
+@query("shortest_path", """
+WITH RECURSIVE e AS (SELECT src, dst FROM @inherits UNION SELECT dst, src FROM @inherits),
+r(tip, path) AS (SELECT 'Part17', ['Part17'] UNION ALL SELECT e.dst, list_append(path, e.dst) FROM r JOIN e ON r.tip = e.src WHERE r.tip <> 'Part26' AND NOT list_contains(path, e.dst)),
+b AS (SELECT path FROM r WHERE tip = 'Part26' ORDER BY len(path), path LIMIT 1)
+SELECT (i - 1)::INT AS step, path[i] AS node FROM (SELECT path, unnest(range(1, len(path) + 1)) AS i FROM b)""")
 def _(t):
     e = settle(t("inherits"))
     path = G.shortest_path(e, e.where(F.lit(False)), "Part17", "Part26")
     return e.sparkSession.createDataFrame([(i, n) for i, n in enumerate(path or [])], "step int, node string")
 
 
+@query("shortest_cycles", """
+WITH RECURSIVE r(src, dst, depth) AS (
+  SELECT DISTINCT src, dst, 1 FROM @calls UNION SELECT r.src, e.dst, r.depth + 1 FROM r JOIN @calls e ON r.dst = e.src WHERE r.depth < 20)
+SELECT src AS node, min(depth)::INT AS length FROM r WHERE src = dst GROUP BY src""")
+def _(t):
+    return G.shortest_cycles(t("calls"))
+
+
+@query("neighbours", "SELECT 'out' AS side, dst AS node FROM @calls WHERE src = 'click' UNION SELECT 'in', src FROM @calls WHERE dst = 'click'")
+def _(t):
+    e = settle(t("calls"))
+    return G.successors(e, "click").withColumn("side", F.lit("out")).unionByName(G.predecessors(e, "click").withColumn("side", F.lit("in"))).select("side", "node")
+
+
+@query("edges_of_node", """
+SELECT 'in' AS side, src, dst, weight FROM @calls WHERE dst = 'click' UNION ALL SELECT 'out', src, dst, weight FROM @calls WHERE src = 'click'
+UNION ALL SELECT 'between', src, dst, weight FROM @calls WHERE src = 'click' AND dst = 'view'""")
+def _(t):
+    e = settle(t("calls"))
+    side = lambda df, n: df.select(F.lit(n).alias("side"), "src", "dst", "weight")
+    return side(G.in_edges(e, "click"), "in").unionByName(side(G.out_edges(e, "click"), "out")).unionByName(side(G.edge_between(e, "click", "view"), "between"))
+
+
+@query("build_edges", """
+SELECT 'inheritance' AS graph, fqname AS src, superclass AS dst, 'inherits' AS type, 1 AS weight FROM @classes WHERE superclass IS NOT NULL
+UNION ALL SELECT 'dependency', fqname, namespace, 'depends_on', 1 FROM @classes
+UNION ALL SELECT 'mixin', fqname, 'M' || size, CASE size % 4 WHEN 0 THEN 'includes' WHEN 1 THEN 'extends' WHEN 2 THEN 'prepends' ELSE 'refine' END, 1 FROM @classes
+UNION ALL SELECT 'method_call', src, dst, 'calls', coalesce(CASE WHEN weight % 2 = 0 THEN weight END, 1) FROM @calls""")
+def _(t):
+    kind = F.when(F.col("size") % 4 == 0, "include").when(F.col("size") % 4 == 1, "extend").when(F.col("size") % 4 == 2, "prepend").otherwise("refine")
+    c = t("classes").select("name", "fqname", "superclass", F.array("namespace").alias("dependencies"), F.array(F.struct(kind.alias("type"), F.concat(F.lit("M"), F.col("size").cast("string")).alias("module"))).alias("mixins"))
+    return G.build_edges(c, t("calls").select(F.col("src").alias("from"), F.col("dst").alias("to"), F.when(F.col("weight") % 2 == 0, F.col("weight")).alias("frequency")))
+
+
 @query("in_out_degree", """
 SELECT node, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM (
   SELECT src AS node, 0 AS i, 1 AS o FROM @depends UNION ALL SELECT dst, 1, 0 FROM @depends) GROUP BY node""")

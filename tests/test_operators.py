@@ -65,6 +65,29 @@ def test_graph_queries(spark):
     none = e.limit(0)
     assert G.shortest_path(e, none, "AdminUser", "Object")[0::4] == ["AdminUser", "Object"] and G.shortest_path(e, none, "A", "A") == ["A"] and G.shortest_path(e, none, "User", "Nobody") is None
     assert G.closure(none).count() == 0 and G.cycles(none).count() == 0
+
+
+def test_graphs_have_no_greatest_depth(spark):
+    ring = edges(spark, *[(f"R{i}", f"R{(i + 1) % 8}") for i in range(8)], ("R0", "X"), ("Y", "R3"))
+    assert [(r.cycle, r.length) for r in G.cycles(ring).collect()] == [(">".join(f"R{i % 8}" for i in range(9)), 8)]
+    assert {(r.node, r.length) for r in G.shortest_cycles(ring).collect()} == {(f"R{i}", 8) for i in range(8)} and G.cycles(ring, longest=7).count() == 0
+    path = edges(spark, *[(f"N{i}", f"N{i + 1}") for i in range(150)])
+    assert {r.node: len(r.chain) for r in G.chain(path).collect()} == {f"N{i}": 151 - i for i in range(150)}
+    depths = {r.node: r.depth for r in G.depths_from_roots(path).collect()}
+    assert depths == {f"N{i}": 150 - i for i in range(151)}
+    assert G.closure(path).agg({"depth": "max"}).first()[0] == 150 and G.closure(path).count() == 151 * 75
+    end = path.where("src >= 'N135'")
+    got = G.reachable(end, end.where("src in ('N135', 'N140')").selectExpr("src as node"))
+    assert {(r.start, r.node, r.depth) for r in got.collect()} >= {(f"N{a}", f"N{b}", b - a) for a in (135, 140) for b in range(a + 1, 150)}
+    assert G.reachable(path, path.where("src = 'N0'").selectExpr("src as node"), max_depth=6).count() == 6
+
+
+def test_chains_into_cycles_and_orders_of_traversal(spark):
+    e = edges(spark, ("A", "B"), ("B", "C"), ("C", "D"), ("D", "B"), ("S", "S"))
+    assert {r.node: "".join(r.chain) for r in G.chain(e).collect()} == {"A": "ABCD", "B": "BCD", "C": "CDB", "D": "DBC", "S": "S"}
+    tree = edges(spark, ("b", "a"), ("c", "a"), ("d", "b"), ("e", "b"), ("f", "c"))
+    assert [r.node for r in G.traverse(tree, "a", order="dfs").collect()] == ["a", "b", "d", "e", "c", "f"]
+    assert [r.node for r in G.traverse(tree, "a").collect()] == ["a", "b", "c", "d", "e", "f"]
     d = G.degrees(edges(spark, ("A", "B"), ("A", "B"), ("B", "C")))
     assert {tuple(r) for r in d.collect()} == {("A", 0, 2), ("B", 2, 1), ("C", 1, 0)}
 
