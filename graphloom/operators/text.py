@@ -2,37 +2,46 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import names as N
 
 MARK = "[REDACTED]"
-_KEYS = ["password", "secret", "api_key", "token", "private_key", "access_key"]
-_SEP = "([ \\t]*[:=][ \\t]*)"
-_VALUE = "(\"[^\"]*\"|'[^']*'|[^\\s\"']+)"
-#: (pattern, replacement with $1 for the key and its mark)
-KEYED = [(f"(?i)({k}){_SEP}{_VALUE}", f"$1$2{MARK}") for k in _KEYS]
+_KEYS = "password|secret|api[_-]?key|token|private[_-]?key|access[_-]?key"
+#: After the key a quote that ends it, as in JSON, and the sign; then a value in quotes, the rest of the line where they aren't closed, or a bare word.
+_SEP = "([\"']?[ \\t]*[:=][ \\t]*)"
+_VALUE = "(\"[^\"\\n]*\"|'[^'\\n]*'|[\"'][^\\n]*|[^\\s\"']+)"
+
+
+def _keyed(keys: str) -> tuple[str, str]:
+    return f"(?i)({keys}){_SEP}{_VALUE}", f"$1$2{MARK}"
+
+
+#: (pattern, replacement with $1 for the key and its mark): all keys in one pattern, so that a text is gone through once for them.
 LEVELS = {
-    "minimal": KEYED[:1],
-    "standard": KEYED,
-    "aggressive": KEYED + [
-        (f"(?i)(email){_SEP}{_VALUE}", f"$1$2{MARK}"), (f"(?i)(username){_SEP}{_VALUE}", f"$1$2{MARK}"),
-        ("/home/[A-Za-z0-9_.-]+", MARK), ("/Users/[A-Za-z0-9_.-]+", MARK), ("[0-9]{3}-[0-9]{2}-[0-9]{4}", MARK),
-        ("[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", MARK),
+    "minimal": [_keyed("password")],
+    "standard": [_keyed(_KEYS)],
+    "aggressive": [
+        _keyed(f"{_KEYS}|email|username"),
+        ("/home/[A-Za-z0-9_.-]+|/Users/[A-Za-z0-9_.-]+|C:\\\\+Users\\\\+[A-Za-z0-9_.-]+|[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", MARK),
     ],
 }
 
 
-def redact(text: Column, level: str = "standard", custom: list[tuple[str, str]] | None = None) -> Column:
-    """Secrets replaced by a mark, keys kept; null stays null."""
+def redact(text: Column, level: str = "standard", custom: list[tuple[str, str]] | None = None, preserve_structure: bool = False) -> Column:
+    """Secrets replaced by a mark, keys kept; null stays null. With preserve_structure the mark of a keyed value is in double quotes, so that JSON stays JSON."""
     for pattern, to in LEVELS[level] + (custom or []):
-        text = F.regexp_replace(text, pattern, to)
-    return sanitize(text) if level == "aggressive" else text
+        text = F.regexp_replace(text, pattern, to.replace(f"$2{MARK}", f'$2"{MARK}"') if preserve_structure else to)
+    return text
 
 
-def sanitize(text: Column) -> Column:
-    return F.regexp_replace(text, "C:\\\\\\\\Users\\\\\\\\[A-Za-z0-9_.-]+", MARK)
+def secret_name(name: str) -> bool:
+    """Whether a column or field of this name holds secrets as a whole."""
+    return re.fullmatch(f"(?i).*({_KEYS}).*", name) is not None
 
 
 def redact_nested(col: Column, kind, level: str = "standard") -> Column:
@@ -43,12 +52,27 @@ def redact_nested(col: Column, kind, level: str = "standard") -> Column:
     if name == "array":
         return F.transform(col, lambda x: redact_nested(x, kind.elementType, level))
     if name == "struct":
-        return F.when(col.isNotNull(), F.struct(*[redact_nested(col[f.name], f.dataType, level).alias(f.name) for f in kind.fields]))
+        return F.when(col.isNotNull(), F.struct(*[redact_field(col[f.name], f.name, f.dataType, level).alias(f.name) for f in kind.fields]))
     if name == "map":
         return F.transform_values(col, lambda k, v: redact_nested(v, kind.valueType, level))
     return col
 
 
+def redact_field(col: Column, name: str, kind, level: str = "standard") -> Column:
+    """A column or field: nothing but the mark if its name is that of a secret, else what redact_nested() makes of it."""
+    if secret_name(name) and kind.typeName() == "string":
+        return F.when(col.isNotNull(), F.lit(MARK))
+    return redact_nested(col, kind, level)
+
+
+def auto_link(content: Column, names: list[str]) -> Column:
+    """Every mention of one of the names, longest first and whole words only, as a link to its chunk; what is a link already stays. The driver holds the list of names."""
+    for n in sorted(names, key=lambda n: (-len(n), n)):
+        link = f"[{n}](chunk_{hashlib.md5(n.encode()).hexdigest()[:8]}.md)"
+        content = F.regexp_replace(content, f"(?<![A-Za-z0-9_:\\[]){re.escape(n)}(?![A-Za-z0-9_:\\]])", link.replace("\\", "\\\\").replace("$", "\\$"))
+    return content
+
+
 def link_section(names: Column) -> Column:
     """A Markdown list of links to chunks."""
     return F.array_join(F.transform(names, lambda n: F.concat(F.lit("- ["), n, F.lit("]("), N.chunk_id(n), F.lit(".md)"))), "\n")

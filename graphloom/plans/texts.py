@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import search as S
 from graphloom.operators import text as T
 from graphloom.plans.base import query
-from graphloom.sinks.documents import json_lines, yaml_lines
+from graphloom.sinks.documents import json_lines, redacted, yaml_lines
 
 
 def _sql(level: str) -> str:
@@ -22,6 +22,18 @@ def _(t):
     return t("texts").select("doc_id", T.redact(F.col("text"), "standard").alias("redacted"))
 
 
+def _json_sql(level: str) -> str:
+    inner = _sql(level).replace("SELECT doc_id, ", "").replace(" AS redacted FROM @texts", "").replace("(text,", "(x,")
+    return f"SELECT doc_id, to_json({{'password': CASE WHEN lang IS NOT NULL THEN '{T.MARK}' END, 'text': {inner}}})::VARCHAR AS line FROM (SELECT doc_id, lang, 'login {{\"token\":\"a' || doc_id || '\"}} password: \"open ' || lang AS x FROM @texts)"
+
+
+@query("redact_json", _json_sql("standard"))
+def _(t):
+    x = F.concat(F.lit('login {"token":"a'), F.col("doc_id").cast("string"), F.lit('"} password: "open '), F.col("lang"))
+    d = redacted(t("texts").select("doc_id", F.col("lang").alias("password"), x.alias("text")), "standard")
+    return d.select("doc_id", F.to_json(F.struct("password", "text"), {"ignoreNullFields": "false"}).alias("line"))
+
+
 @query("redact_aggressive", _sql("aggressive"))
 def _(t):
     return t("texts").select("doc_id", T.redact(F.col("text"), "aggressive").alias("redacted"))

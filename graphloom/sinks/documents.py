@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.text import redact
+from graphloom.operators.text import redact_field
 
 
 def _quoted(c) -> Column:
@@ -34,7 +34,12 @@ def json_lines(df: DataFrame, level: str | None = None) -> DataFrame:
     """(line): one JSON object for each row, keys in order, nulls kept, timestamps in UTC; redacted where a level is given."""
     cols = [F.col(f"`{c}`").alias(c) for c in sorted(df.columns)]
     line = F.to_json(F.struct(*cols), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'"})
-    return df.select((redact(line, level) if level else line).alias("line"))
+    return redacted(df, level).select(line.alias("line"))
+
+
+def redacted(df: DataFrame, level: str | None) -> DataFrame:
+    """`df` with all strings redacted, also nested ones and whole columns that are secrets by name, before anything is made of them."""
+    return df if level is None else df.select(*[redact_field(F.col(f"`{f.name}`"), f.name, f.dataType, level).alias(f.name) for f in df.schema.fields])
 
 
 def yaml_lines(df: DataFrame) -> DataFrame:
@@ -58,14 +63,15 @@ def write_chunks(chunks: DataFrame, folder: str) -> DataFrame:
     return m
 
 
-def emit_all(tables: dict[str, DataFrame], formats: list[str], folder: str) -> list[tuple[str, str, str]]:
-    """Writes each table in each format; a failure is reported as (format, table, message) and the others go on."""
+def emit_all(tables: dict[str, DataFrame], formats: list[str], folder: str, level: str | None = None) -> list[tuple[str, str, str]]:
+    """Writes each table in each format, redacted where a level is given; a failure is reported as (format, table, message) and the others go on."""
     makers = {"json": json_lines, "yaml": yaml_lines}
     failed = []
     for f in formats:
         if f not in [*makers, "parquet", "dot"]:
             raise ValueError(f"unknown format: {f}")
         for name, df in tables.items():
+            df = redacted(df, level)
             try:
                 if f == "parquet":
                     df.write.mode("overwrite").parquet(f"{folder}/{f}/{name}")
