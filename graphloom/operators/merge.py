@@ -23,6 +23,12 @@ def provenance(df: DataFrame, key: list[str], source: str = "source", confidence
     return df.groupBy(*key).agg(F.array_join(F.sort_array(F.collect_set(source)), ",").alias("sources"), F.max(confidence).alias("confidence"))
 
 
+def merged(df: DataFrame, key: list[str], source: str = "source", confidence: str = "confidence", visibility: str = "visibility") -> DataFrame:
+    """provenance() and most_restrictive() in one pass."""
+    both = df.groupBy(*key).agg(F.array_join(F.sort_array(F.collect_set(source)), ",").alias("sources"), F.max(confidence).alias("confidence"), F.min(N.visibility_rank(visibility)).alias("__r"))
+    return both.select(*key, "sources", "confidence", N.visibility_of_rank("__r").alias(visibility))
+
+
 def most_restrictive(df: DataFrame, key: list[str], visibility: str = "visibility") -> DataFrame:
     return df.groupBy(*key).agg(N.visibility_of_rank(F.min(N.visibility_rank(visibility))).alias("visibility"))
 

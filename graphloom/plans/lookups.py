@@ -101,8 +101,7 @@ FROM m GROUP BY owner, l_suppkey""")
 def _(t):
     m = _sourced(t).withColumn("confidence", N.confidence("source", F.lit(False), F.lit("n")))
     key = ["owner", "l_suppkey"]
-    both = m.groupBy(*key).agg(F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"), F.max("confidence").alias("confidence"), F.min(N.visibility_rank("visibility")).alias("r"))
-    return both.select(*key, "sources", "confidence", N.visibility_of_rank("r").alias("visibility"))
+    return G.merged(m, key)
 
 
 @query("visibility_rank", "SELECT owner, CASE min(CASE visibility WHEN 'private' THEN 0 WHEN 'protected' THEN 1 ELSE 2 END) WHEN 0 THEN 'private' WHEN 1 THEN 'protected' ELSE 'public' END AS visibility FROM @methods GROUP BY owner")
@@ -142,17 +141,6 @@ def _(t):
 
 @query("method_availability", """
 WITH RECURSIVE r(src, dst) AS (SELECT src, dst FROM @inherits UNION SELECT r.src, e.dst FROM r JOIN @inherits e ON r.dst = e.src),
-m AS (SELECT owner, name FROM @methods WHERE branches = 7),
-d AS (SELECT DISTINCT owner, name FROM m)
-SELECT d.owner, d.name, r.src AS available_in FROM d JOIN r ON r.dst = d.owner UNION SELECT owner, name, owner FROM d""")
-def _(t):
-    from graphloom.operators.graph import closure
-
-    return G.availability(t("methods").where("branches = 7"), closure(t("inherits")))
-
-
-@query("method_availability_all", """
-WITH RECURSIVE r(src, dst) AS (SELECT src, dst FROM @inherits UNION SELECT r.src, e.dst FROM r JOIN @inherits e ON r.dst = e.src),
 d AS (SELECT DISTINCT owner, name FROM @methods)
 SELECT d.owner, d.name, r.src AS available_in FROM d JOIN r ON r.dst = d.owner UNION SELECT owner, name, owner FROM d""")
 def _(t):
@@ -161,9 +149,9 @@ def _(t):
     return G.availability(t("methods"), closure(t("inherits")))
 
 
-@query("anti_join_excludes", "SELECT p_partkey, file FROM @classes WHERE p_partkey NOT IN (SELECT replace(owner, 'Part', '')::BIGINT FROM @methods WHERE visibility = 'private')")
+@query("anti_join_excludes", "SELECT p_partkey, file FROM @classes WHERE p_partkey NOT IN (SELECT replace(owner, 'Part', '')::BIGINT FROM @methods WHERE visibility = 'private' AND branches > 6 AND body_lines > 30)")
 def _(t):
-    gone = t("methods").where("visibility = 'private'").select(F.col("owner").alias("name")).distinct()
+    gone = t("methods").where("visibility = 'private' and branches > 6 and body_lines > 30").select(F.col("owner").alias("name")).distinct()
     return t("classes").join(gone, "name", "left_anti").select("p_partkey", "file")
 
 
@@ -200,3 +188,37 @@ def _(t):
 def _(t):
     kinds = t("classes").select(F.lit("class").alias("kind")).unionByName(t("methods").select(F.lit("method").alias("kind"))).unionByName(t("tree").where("type = 'module'").select(F.lit("module").alias("kind")))
     return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("provenance", _MERGED + "SELECT owner, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources, max(confidence) AS confidence FROM m GROUP BY owner")
+def _(t):
+    return G.provenance(_sourced(t).withColumn("confidence", N.confidence("source", F.lit(False), F.lit("n"))), ["owner"])
+
+
+@query("attach_mixins", """
+WITH c AS (SELECT name, fqname FROM @classes), k AS (SELECT fqname AS target, fqname FROM c UNION SELECT name, fqname FROM c),
+m AS (SELECT CASE WHEN size % 2 = 0 THEN fqname ELSE name END AS target, 'include' AS type, 'Core::M' || (size % 7) AS module FROM @classes UNION ALL SELECT name, 'include', 'Other::M' || (size % 3) FROM @classes)
+SELECT fqname AS target, type, min(module) AS module FROM m JOIN k USING (target) GROUP BY fqname, type, regexp_replace(module, '.*::', '')""")
+def _(t):
+    c, name = t("classes"), lambda p, k: F.concat(F.lit(p), (F.col("size") % k).cast("string"))
+    m = c.select(F.when(F.col("size") % 2 == 0, F.col("fqname")).otherwise(F.col("name")).alias("target"), F.lit("include").alias("type"), name("Core::M", 7).alias("module"))
+    return G.attach_mixins(c, m.unionByName(c.select(F.col("name").alias("target"), F.lit("include").alias("type"), name("Other::M", 3).alias("module"))))
+
+
+@query("search_by_type", "SELECT name, type FROM @classes WHERE (contains(name, '1') OR contains(fqname, '1')) AND type = 'ECONOMY' AND namespace = 'Brand#5'")
+def _(t):
+    return S.search(t("classes"), "1", type_="ECONOMY", namespace="Brand#5").select("name", "type")
+
+
+@query("in_file", "SELECT name, file FROM @classes WHERE contains(file, 'economy/part_1')")
+def _(t):
+    return S.in_file(t("classes"), "economy/part_1").select("name", "file")
+
+
+@query("normalize_params", """
+SELECT name, [{'name': 'a', 'kind': CASE size % 4 WHEN 0 THEN 'req' WHEN 1 THEN 'opt' WHEN 2 THEN 'rest' ELSE 'req' END}][1].kind AS kind, CASE size % 4 WHEN 1 THEN 'a = nil' WHEN 2 THEN '*a' ELSE 'a' END AS shown FROM @classes""")
+def _(t):
+    kind = F.when(F.col("size") % 4 == 0, "required").when(F.col("size") % 4 == 1, "optional").when(F.col("size") % 4 == 2, "rest")
+    p = N.normalize_params(F.array(F.struct(F.lit("a").alias("name"), kind.alias("kind"), F.lit(None).cast("string").alias("type"))))
+    shown = N.format_params(F.transform(p, lambda x: F.struct(x["name"].alias("name"), x["kind"].alias("kind"), F.lit(None).cast("string").alias("default"))))
+    return t("classes").select("name", p[0]["kind"].alias("kind"), shown.alias("shown"))
