@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: dict[str, str] = {}
 _SWEPT: set[str] = set()
+_RECORDING: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,9 +48,22 @@ def settle(df: DataFrame) -> DataFrame:
         fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
+    for tables in _RECORDING:
+        tables.append(out)
     return out
 
 
+@contextmanager
+def recorded():
+    """A list of the tables that are settled within."""
+    tables: list[DataFrame] = []
+    _RECORDING.append(tables)
+    try:
+        yield tables
+    finally:
+        _RECORDING.remove(tables)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete settled tables that nothing reads any more; others are left alone."""
     for t in tables:
@@ -55,3 +71,15 @@ def discard(*tables: DataFrame | None) -> None:
         if path:
             fs, p = _file_system(t.sparkSession, path)
             fs.delete(p, True)
+
+
+def discard_unread(tables: list[DataFrame], by: DataFrame) -> None:
+    """Delete those settled tables of which `by` reads no file."""
+    files = by.inputFiles()
+    discard(*[t for t in tables if not any(t._settled_at.removeprefix("file:").lstrip("/") in f for f in files)])
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to, which it does when garbage is collected, and on a roomy driver that may be never."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
