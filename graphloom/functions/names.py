@@ -291,3 +291,14 @@ def excluded(path, patterns=DEFAULT_EXCLUDES) -> Column:
     for p in patterns:
         out = out | F.coalesce(_c(path).rlike(glob_regex(p)), F.lit(False))
     return out
+
+
+def symbol_rows(tables: dict):
+    """(id, kind, name, fqname, namespace, file): tables of symbols by kind in common columns; what a table lacks is null, a missing full name is the name and the other way round."""
+    out = None
+    for kind, df in tables.items():
+        have = {c: F.col(c) if c in df.columns else F.lit(None).cast("string") for c in ("name", "fqname", "namespace", "file")}
+        full = F.coalesce(have["fqname"], have["name"])
+        rows = df.select(full.alias("id"), F.lit(kind).alias("kind"), F.coalesce(have["name"], have["fqname"]).alias("name"), full.alias("fqname"), have["namespace"].alias("namespace"), have["file"].alias("file"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -128,3 +128,17 @@ def class_issues(df: DataFrame) -> DataFrame:
 def evidence_confidence(required: Column, n_required: int, optional: Column, n_optional: int) -> Column:
     """0.7 of the required share and 0.3 of the optional one."""
     return F.round(0.7 * (required / n_required if n_required else F.lit(1.0)) + 0.3 * (optional / n_optional if n_optional else F.lit(0.0)), 2)
+
+
+def summary_lists(df: DataFrame) -> DataFrame:
+    """(list, name, value) from complexity, coupling and cohesion: what is complex, tightly and loosely coupled, and of low cohesion."""
+    lists = [("high_complexity", "complexity", F.col("complexity") > 10), ("tightly_coupled", "coupling", F.col("coupling") > 0.7), ("loosely_coupled", "coupling", F.col("coupling") < 0.3), ("low_cohesion", "cohesion", F.col("cohesion") < 0.3)]
+    made = [F.when(F.coalesce(hit, F.lit(False)), F.struct(F.lit(k).alias("list"), F.col(v).cast("double").alias("value"))) for k, v, hit in lists]
+    return df.select("name", F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("l")).select("l.list", "name", "l.value")
+
+
+def symbol_issues(df: DataFrame) -> DataFrame:
+    """(name, issue, severity) that a symbol's page shows, from complexity, cohesion and fan_out."""
+    table = [("high_complexity", F.col("complexity") > 50, "high"), ("low_cohesion", F.col("cohesion") < 0.3, "medium"), ("many_dependencies", F.col("fan_out") > 10, "medium")]
+    made = [F.when(F.coalesce(hit, F.lit(False)), F.struct(F.lit(k).alias("issue"), F.lit(s).alias("severity"))) for k, hit, s in table]
+    return df.select("name", F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("i")).select("name", "i.issue", "i.severity")

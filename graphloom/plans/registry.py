@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.plans import graphs, lookups, measures, names, rules, texts  # noqa: F401
+from graphloom.plans import documents, graphs, lookups, measures, names, rules, texts  # noqa: F401
 from graphloom.plans.base import QUERIES, SQL
 
 

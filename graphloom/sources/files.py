@@ -15,9 +15,11 @@ from graphloom.functions.names import DEFAULT_EXCLUDES, excluded
 TABLES = ("classes", "modules", "methods", "method_calls", "mixins")
 
 
-def scan(spark: SparkSession, paths: str | list[str], pattern: str = "*.rb", excludes: list[str] | None = None) -> DataFrame:
-    """(path, content, digest): files under folders, or single files; excluded ones are dropped before they are read."""
+def scan(spark: SparkSession, paths: str | list[str], pattern: str = "*.rb", excludes: list[str] | None = None, since: float | None = None) -> DataFrame:
+    """(path, content, digest): files under folders, or single files; excluded ones, and those not changed after `since` (seconds), are dropped before they are read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(paths)
+    if since is not None:
+        raw = raw.where(F.col("modificationTime") > F.timestamp_micros(F.lit(int(since * 1_000_000))))
     kept = raw.where(~excluded(F.regexp_replace("path", "^file:", ""), DEFAULT_EXCLUDES if excludes is None else excludes))
     return kept.select(F.regexp_replace("path", "^file:", "").alias("path"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("digest"))
 
@@ -46,6 +48,35 @@ def expand_env(text: str) -> str:
     return re.sub(r"\$\{(\w+)\}|\$(\w+)", lambda m: os.environ.get(m[1] or m[2], ""), text)
 
 
+def _scalar(text: str):
+    text = text.strip()
+    if text[:1] in ("'", '"'):
+        return text[1:-1]
+    named = {"true": True, "yes": True, "false": False, "no": False, "null": None, "~": None, "": None}
+    if text.lower() in named:
+        return named[text.lower()]
+    return int(text) if re.fullmatch(r"-?\d+", text) else float(text) if re.fullmatch(r"-?\d+\.\d+", text) else text
+
+
+def plain_yaml(text: str) -> dict:
+    """Keys with a value, a list in brackets, or lines of "- value" each; comments and blank lines are skipped, anything else is an error."""
+    out: dict = {}
+    key = None
+    for n, line in enumerate(text.splitlines(), 1):
+        line = re.sub(r"(^|\s)#.*$", "", line).rstrip()
+        if not line.strip() or line == "---":
+            continue
+        item, pair = re.fullmatch(r"\s*-\s+(.*)", line), re.fullmatch(r"(\w+):\s*(.*)", line)
+        if item and key is not None and isinstance(out[key] or [], list):
+            out[key] = (out[key] or []) + [_scalar(item[1])]
+        elif pair:
+            key, value = pair[1], pair[2]
+            out[key] = [_scalar(v) for v in value[1:-1].split(",") if v.strip()] if value.startswith("[") and value.endswith("]") else _scalar(value)
+        else:
+            raise ValueError(f"line {n} isn't plain YAML: {line.strip()}")
+    return out
+
+
 @dataclass
 class Settings:
     """Thresholds and switches; profiles change some of them."""
@@ -86,5 +117,7 @@ class Settings:
 
     @classmethod
     def from_file(cls, path: str) -> Settings:
+        """From JSON, or from YAML of plain keys, values and lists of values."""
         with open(path) as f:
-            return cls().merge(**json.loads(expand_env(f.read())))
+            text = expand_env(f.read())
+        return cls().merge(**(plain_yaml(text) if path.endswith((".yml", ".yaml")) else json.loads(text)))
