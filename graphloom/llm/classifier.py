@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import settle, table, whole_row
 from graphloom.llm.textstats import stats, vectors
+from graphloom.llm.urls import split_url
 from graphloom.llm.words import buffers
 
 #: The classifier is fitted on at most so many labelled documents, those first by hash. Everything else covers all.
@@ -87,12 +88,20 @@ def own_probability(text: Column, model) -> Column:
     return f(text)
 
 
-def site_posteriors(scored: DataFrame) -> DataFrame:
-    """(lang, source, n, s, prior, k, mu) from (lang, source, p): counts and soft counts of each path, and what it shrinks towards, how strongly.
+def site_of(docs: DataFrame, url: str | None = None) -> tuple[Column, Column]:
+    """Host and path of each document: of its URL the host and the first part of the path, where the name of such a column is given, else its source and language."""
+    if url is None:
+        return F.col("source").alias("host"), F.col("lang").alias("path")
+    host, path, _ = split_url(F.col(url))
+    return F.nullif(host, F.lit("")).alias("host"), F.regexp_extract(path, "^/([^/]*)", 1).alias("path")
+
+
+def site_posteriors(scored: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+    """(lang, source, n, s, prior, k, mu) from path, host and p, lang and source standing for path and host: counts and soft counts of each path, and what it shrinks towards, how strongly.
 
     A level's strength follows from the variance between its sites beyond what chance gives.
     """
-    paths = scored.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * (1 - F.col("p"))).alias("v"))
+    paths = scored.select(F.col(host).alias("source"), F.col(path).alias("lang"), "p").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * (1 - F.col("p"))).alias("v"))
     paths = paths.withColumn("hn", F.sum("n").over(Window.partitionBy("source"))).withColumn("hs", F.sum("s").over(Window.partitionBy("source")))
     paths = settle(paths)
     hosts = paths.groupBy("source").agg(F.first("hn").alias("hn"), F.first("hs").alias("hs"))
@@ -118,37 +127,36 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def combine(scored: DataFrame, sites: DataFrame) -> DataFrame:
-    """`scored` (with lang, source and p) with __site and __posterior; a document's own evidence is left out of its site's."""
+def combine(scored: DataFrame, sites: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+    """`scored` (with host, path and p) with __site and __posterior; a document's own evidence is left out of its site's."""
     m = sites.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.struct("n", "s", "prior", "k", "mu").alias("__m"))
-    j = scored.join(m, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))).drop("__lang", "__source")
+    j = scored.join(m, F.col(path).eqNullSafe(F.col("__lang")) & F.col(host).eqNullSafe(F.col("__source"))).drop("__lang", "__source")
     site = (F.col("__m.s") - F.col("p") + F.col("__m.k") * F.col("__m.prior")) / (F.col("__m.n") - 1 + F.col("__m.k"))
     j = j.withColumn("__site", site)
     odds = _logit(F.col("p")) + _logit(F.col("__site")) - _logit(F.col("__m.mu"))
     return j.withColumn("__posterior", F.when(F.col("p") <= 0, 0.0).otherwise(1 / (1 + F.exp(-odds)))).drop("__m")
 
 
-def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, url: str | None = None) -> DataFrame:
     """(doc_id, lang, source, p, site, posterior, keep): own probability, that of its site, both combined, and whether it reaches KEEP_FROM.
 
-    Null, empty and wordless texts have probability 0 and go. Nulls in lang or source are values of
-    their own. Without labels of both kinds every other document has probability 0.5. Repeated rows
-    count each time and get the same result. Other columns are ignored; an empty table gives an
-    empty table. A site's lone document has its host's posterior as site.
+    A site is a host and a path in it: those of the column `url` where that is given, else source
+    and lang. Null, empty and wordless texts have probability 0 and go. Nulls in what makes a site
+    are values of their own. Without labels of both kinds every other document has probability 0.5.
+    Repeated rows count each time and get the same result. Other columns are ignored; an empty table
+    gives an empty table. A site's lone document has its host's posterior as site.
     """
     model = train(docs, labels, max_labelled)
-    scored = settle(docs.select("doc_id", "lang", "source", own_probability(F.col("text"), model).alias("p")))
-    out = combine(scored, site_posteriors(scored))
+    scored = settle(docs.select("doc_id", "lang", "source", *site_of(docs, url), own_probability(F.col("text"), model).alias("p")))
+    out = combine(scored, site_posteriors(scored, "host", "path"), "host", "path")
     return out.select("doc_id", "lang", "source", "p", F.col("__site").alias("site"), F.col("__posterior").alias("posterior"), (F.col("__posterior") >= KEEP_FROM).alias("keep"))
 
 
-def keep_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """The documents that stay, with the columns of `docs`."""
-    model = train(docs, labels, max_labelled)
-    p = own_probability(F.col("text"), model)
-    sites = site_posteriors(settle(docs.select("lang", "source", p.alias("p"))))
-    narrow = docs.select(whole_row(docs), "lang", "source", p.alias("p"))
-    return combine(narrow, sites).where(F.col("__posterior") >= KEEP_FROM).select("__row.*")
+def keep_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, url: str | None = None) -> DataFrame:
+    """The documents that stay, with the columns of `docs`; texts are scored once."""
+    p = own_probability(F.col("text"), train(docs, labels, max_labelled))
+    rows = settle(docs.select(whole_row(docs), *site_of(docs, url), p.alias("p")))
+    return combine(rows, site_posteriors(rows, "host", "path"), "host", "path").where(F.col("__posterior") >= KEEP_FROM).select("__row.*")
 
 
 def query(spark, sf_dir):

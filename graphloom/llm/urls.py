@@ -35,7 +35,7 @@ def rules_table(spark) -> DataFrame:
     return spark.createDataFrame(RULES, "rule int, action string, expression string")
 
 
-def _split(url: Column) -> tuple[Column, Column, Column]:
+def split_url(url: Column) -> tuple[Column, Column, Column]:
     """Host in lower case without user, port and final dots; path; path with query."""
     rest = F.regexp_replace(F.regexp_replace(F.trim(url), "#[^\\n]*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.regexp_extract(rest, "^([^/?]*)", 1)
@@ -51,7 +51,7 @@ ADDRESS = "^([0-9]+([.][0-9]+){3}|\\[.*\\]?)$"
 
 def normalized(rules: DataFrame) -> DataFrame:
     """`rules` with expressions as URLs are: no scheme, hosts in lower case without final dots, a path of at least "/". What has no host has a null expression."""
-    host, _, full = _split(F.col("expression"))
+    host, _, full = split_url(F.col("expression"))
     return rules.withColumn("expression", F.when(host != "", F.concat(host, full)))
 
 
@@ -82,7 +82,7 @@ def decide(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     ).withColumn("short", F.substring("digest", 1, 8))
     # No rule has more labels or slashes than these, so deeper expressions can't match any.
     reach = r.agg(F.coalesce(F.max("labels"), F.lit(0)).alias("labels"), F.coalesce(F.max("slashes"), F.lit(0)).alias("slashes"))
-    host, path, full = _split(F.col("u"))
+    host, path, full = split_url(F.col("u"))
     u = pages.select(F.col(url).alias("u")).where("u is not null").distinct().select("u", host.alias("h"), path.alias("p"), full.alias("f")).where("h <> ''")
     u = u.crossJoin(F.broadcast(reach)).select("u", "h", "p", "f", F.split("h", "\\.").alias("hs"), F.split("p", "/").alias("ps"), "labels", "slashes")
     n, m = F.least(F.size("hs"), "labels"), F.least(F.size("ps") - 1, "slashes")

@@ -66,3 +66,15 @@ def test_odd_rows(spark, odd, odd_rows, clashing, empty):
     none = classify(odd, labels.limit(0)).collect()
     assert {r.p for r in none} == {0.0, 0.5}
     assert classify(empty, labels).count() == 0 and classify(empty, labels.limit(0)).count() == 0
+
+
+def test_sites_from_urls(spark, words):
+    """Sparse evidence: a host's documents stand together, whatever their language and source."""
+    rows, labels = corpus(words)
+    docs = spark.createDataFrame([(*r, f"http://{'good' if r[0] % 3 else 'bad'}.example.com/p{r[0] % 2}/x?{r[0]}", r[0]) for r in rows], SCHEMA + ", url string, host int")
+    y = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r for r in classify(docs, y, url="url").collect()}
+    assert len(got) == len(rows) and np.mean([r.keep == (k % 3 > 0) for k, r in got.items()]) > 0.97
+    assert min(r.site for k, r in got.items() if k % 3) > 0.9 > 0.2 > max(r.site for k, r in got.items() if k % 3 == 0)
+    out = keep_documents(docs, y, url="url")
+    assert out.dtypes == docs.dtypes and out.count() == sum(r.keep for r in got.values())

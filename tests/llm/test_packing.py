@@ -1,3 +1,4 @@
+import itertools
 from collections import defaultdict
 
 import numpy as np
@@ -28,20 +29,24 @@ def test_best_fit_leaves_the_same_room():
 
 
 def improves(sizes, bins, capacity):
-    """Whether any move, one-for-one or two-for-one exchange raises the sum of squared fills."""
+    """Whether any move, or exchange of one for one, two for one or one for two, raises the sum of squared fills."""
     fill = np.bincount(bins, weights=sizes)
-    n = len(sizes)
+    inside = [[i for i in range(len(sizes)) if bins[i] == b] for b in range(len(fill))]
+    groups = [[(x,) for x in m] + list(itertools.combinations(m, 2)) for m in inside]
 
     def better(a, b, d):  # d goes from bin a to bin b
-        return fill[b] + d <= capacity and (fill[b] + d) ** 2 + (fill[a] - d) ** 2 > fill[a] ** 2 + fill[b] ** 2 and fill[b] >= fill[a] and fill[b] < capacity
+        return d > 0 and fill[b] + d <= capacity and fill[a] < capacity and fill[b] < capacity and (fill[b] + d) ** 2 + (fill[a] - d) ** 2 > fill[a] ** 2 + fill[b] ** 2 and fill[b] >= fill[a]
 
-    for x in range(n):
-        for b in range(len(fill)):
-            if b != bins[x] and fill[b] and better(bins[x], b, sizes[x]):
-                return True
-        for y in range(n):
-            if bins[x] != bins[y] and sizes[x] > sizes[y] and better(bins[x], bins[y], sizes[x] - sizes[y]):
+    for a, b in itertools.permutations(range(len(fill)), 2):
+        if not inside[a] or not inside[b]:
+            continue
+        for xs in groups[a]:
+            given = sum(sizes[x] for x in xs)
+            if len(xs) == 1 and better(a, b, given):
                 return True
+            for ys in groups[b]:
+                if len(xs) + len(ys) < 4 and better(a, b, given - sum(sizes[y] for y in ys)):
+                    return True
     return False
 
 
