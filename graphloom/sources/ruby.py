@@ -188,6 +188,24 @@ def body_metrics(lines: list[str]) -> dict:
     return {"branches": branches, "conditionals": conditionals, "loops": loops, "calls": calls}
 
 
+def statements(lines: list[str], raw: list[str]) -> list[tuple[int, str, str]]:
+    """(line number, code, code with its strings): lines cut at semicolons, a method's parameters over several lines joined to its first."""
+    out, i = [], 0
+    while i < len(lines):
+        n, line, whole = i + 1, lines[i], raw[i][: len(lines[i])]
+        while re.match(r"^\s*(?:\w+\s+)?def\b", line) and line.count("(") > line.count(")") and i + 1 < len(lines):
+            i += 1
+            line, whole = f"{line} {lines[i].strip()}", f"{whole} {raw[i][: len(lines[i])].strip()}"
+        at = 0
+        same = len(whole) == len(line)
+        for part in line.split(";"):
+            if part.strip():
+                out.append((n, part, whole[at : at + len(part)] if same else part))
+            at += len(part) + 1
+        i += 1
+    return out
+
+
 def extract(path: str, source: str) -> list[tuple]:
     """All rows of a file."""
     rows: list[tuple] = []
@@ -204,12 +222,10 @@ def extract(path: str, source: str) -> list[tuple]:
     def scope() -> dict | None:
         return next((s for s in reversed(stack) if s["kind"] in ("class", "module", "singleton")), None)
 
-    for n, line in enumerate(lines, 1):
+    every = statements(lines, raw)
+    for k, (n, line, whole) in enumerate(every):
         code = line.strip()
-        if not code:
-            continue
         in_def = any(s["kind"] == "def" for s in stack)
-        whole = raw[n - 1][: len(line)]
         if _SINGLETON.match(line):
             stack.append({"kind": "singleton", "name": "", "line": n, "visibility": "public"})
         elif m := _CLASS.match(line):
@@ -217,13 +233,11 @@ def extract(path: str, source: str) -> list[tuple]:
             sup = (m["sup"] or "").strip() or None
             sup = "Struct" if sup and sup.startswith("Struct.new") else sup
             add("class", m["name"], n, superclass=sup, doc=doc, tags=tags(doc), inline=comments.get(n))
-            if not re.search(r";\s*end\s*$", line):
-                stack.append({"kind": "class", "name": m["name"], "line": n, "visibility": "public"})
+            stack.append({"kind": "class", "name": m["name"], "line": n, "visibility": "public"})
         elif m := _MODULE.match(line):
             doc = documentation(comments, lines, n)
             add("module", m[1], n, doc=doc, tags=tags(doc))
-            if not re.search(r";\s*end\s*$", line):
-                stack.append({"kind": "module", "name": m[1], "line": n, "visibility": "public"})
+            stack.append({"kind": "module", "name": m[1], "line": n, "visibility": "public"})
         elif m := _DEF.match(line):
             doc, s = documentation(comments, lines, n), scope()
             t = tags(doc)
@@ -232,22 +246,22 @@ def extract(path: str, source: str) -> list[tuple]:
                 if p := re.match(r"(\w+)\s+\[([^\]]+)\]", h):
                     hints[p[1]] = p[2]
             rest = m["rest"].strip()
-            one_line = bool(re.search(r"(?:^|\))\s*=\s*\S|;\s*end\s*$", rest)) and not m["name"].endswith("=")
+            one_line = bool(re.search(r"(?:^|\))\s*=\s*\S", rest)) and not m["name"].endswith("=")
             inner = re.match(r"\(((?:[^()]|\([^()]*\))*)\)", rest)
-            ps = inner[1] if inner else ("" if one_line else rest.split(";")[0])
+            ps = inner[1] if inner else ("" if one_line else rest)
             visibility = m["vis"] if m["vis"] in VISIBILITIES else (s["visibility"] if s else "public")
-            made = {"owner": namespace() or None, "receiver_type": "class" if m["recv"] else "instance", "visibility": visibility, "parameters": parameters(ps, hints), "doc": doc, "tags": t}
+            made = {"owner": namespace() or None, "receiver_type": "class" if m["recv"] or (s and s["kind"] == "singleton") else "instance", "visibility": visibility, "parameters": parameters(ps, hints), "doc": doc, "tags": t}
             if one_line:
                 add("method", m["name"], n, **made, body_lines=0, **body_metrics([rest]))
             else:
-                stack.append({"kind": "def", "name": m["name"], "line": n, "made": made})
+                stack.append({"kind": "def", "name": m["name"], "line": n, "made": made, "from": k + 1})
         elif re.match(r"^end\b", code):
             if not stack:
                 add("error", None, n, message="end without a beginning")
                 continue
             top = stack.pop()
             if top["kind"] == "def":
-                add("method", top["name"], top["line"], **top["made"], body_lines=n - top["line"], **body_metrics(lines[top["line"] : n - 1]))
+                add("method", top["name"], top["line"], **top["made"], body_lines=n - top["line"], **body_metrics([t for _, t, _ in every[top["from"] : k]]))
         else:
             if not in_def:
                 _statement(line, whole, n, stack, scope, add, comments)

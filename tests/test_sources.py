@@ -127,3 +127,16 @@ def test_settings(tmp_path, monkeypatch):
 def test_adapt(spark):
     out = files.adapt(spark, {"classes": {"name": "A"}, "modules": None}, {"classes": "name string, file string", "modules": "name string"})
     assert [tuple(r) for r in out["classes"].collect()] == [("A", None)] and out["modules"].count() == 0
+
+
+def test_singletons_one_line_bodies_and_parameters_over_lines():
+    import json
+
+    code = "class A; def x; foo(1) if y; end; end\nclass B\n  class << self\n    def make(a,\n             b = 2,\n             *rest)\n      run\n    end\n    private\n    def hid; end\n  end\n  def own; end\nend\n"
+    got = [(r[1], r[2], r[4], json.loads(r[5])) for r in rows_of(code)]
+    methods = {r[1]: (r[2], r[3]) for r in got if r[0] == "method"}
+    assert not [r for r in got if r[0] == "error"] and [r[1] for r in got if r[0] == "class"] == ["A", "B"]
+    assert methods["x"][1]["owner"] == "A" and methods["x"][1]["conditionals"] == 1 and [c["method"] for c in methods["x"][1]["calls"]] == ["foo"]
+    assert methods["make"][1]["receiver_type"] == "class" and [p["kind"] for p in methods["make"][1]["parameters"]] == ["req", "opt", "rest"] and methods["make"][0] == 4
+    assert (methods["hid"][1]["receiver_type"], methods["hid"][1]["visibility"]) == ("class", "private")
+    assert (methods["own"][1]["receiver_type"], methods["own"][1]["visibility"], methods["own"][1]["owner"]) == ("instance", "public", "B")
