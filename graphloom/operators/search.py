@@ -55,8 +55,9 @@ def public_only(symbols: DataFrame) -> DataFrame:
 
 
 def secondary_index(symbols: DataFrame, by: str) -> DataFrame:
-    """(value, n, members): names by type, namespace or file, repeated ones kept."""
-    return symbols.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("name")).alias("members"))
+    """(value, n, member): names by type, namespace or file, repeated ones kept, each with how many its value has; a value's names are never all in one row."""
+    named = symbols.where(F.col(by).isNotNull()).select(F.col(by).alias("value"), F.col("name").alias("member"))
+    return named.join(named.groupBy("value").agg(F.count(F.lit(1)).alias("n")), "value").select("value", "n", "member")
 
 
 def references(texts: DataFrame, symbols: DataFrame, pattern: str) -> DataFrame:

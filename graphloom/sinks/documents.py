@@ -86,6 +86,8 @@ def emit_all(tables: dict[str, DataFrame], formats: list[str], folder: str, leve
 
 
 def section(title: str, items: DataFrame, line: Column) -> DataFrame:
-    """(title, content): a Markdown section with an ordered list."""
-    got = items.agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("body"))
-    return got.select(F.lit(title).alias("title"), F.concat(F.lit(f"## {title}\n\n"), F.coalesce(F.nullif("body", F.lit("")), F.lit("None."))).alias("content"))
+    """(title, part, line): a Markdown section with a list, in the order of part and line; a row for each item, so that a list of any length is spread."""
+    listed = items.select(F.lit(title).alias("title"), F.lit(1).alias("part"), line.alias("line"))
+    none = items.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(title).alias("title"), F.lit(1).alias("part"), F.lit("None.").alias("line"))
+    head = items.sparkSession.createDataFrame([(title, 0, f"## {title}\n")], "title string, part int, line string")
+    return head.unionByName(listed).unionByName(none)
