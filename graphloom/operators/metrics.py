@@ -13,8 +13,8 @@ def with_complexity(methods: DataFrame) -> DataFrame:
     return methods.withColumn("complexity", S.cyclomatic("branches", "loops", "conditionals", "body_lines"))
 
 
-def class_rollup(methods: DataFrame) -> DataFrame:
-    """(owner, methods, total_complexity, loc, avg_complexity, coverage, doc_coverage, api_size): all a class has from its methods, in one pass.
+def class_rollup(methods: DataFrame, *more) -> DataFrame:
+    """(owner, methods, total_complexity, loc, avg_complexity, coverage, doc_coverage, api_size): all a class has from its methods, in one pass; `more` are further aggregates.
 
     Complexity averages known values; coverage counts an unknown one as 0.
     """
@@ -25,10 +25,16 @@ def class_rollup(methods: DataFrame) -> DataFrame:
         S.hundredths(F.sum("complexity") * 100, F.count("complexity")).alias("avg_complexity"),
         S.hundredths(F.sum(F.round(F.coalesce("test_coverage", F.lit(0.0)) * 100).cast("bigint")), F.count(F.lit(1))).alias("coverage"),
         S.hundredths(F.sum(F.round(F.coalesce("doc_coverage", F.lit(0.0)) * 100).cast("bigint")), F.count(F.lit(1))).alias("doc_coverage"),
-        F.sum(F.coalesce(public, F.col("scope") == "class").cast("int")).alias("api_size"),
+        F.sum(F.coalesce(public, F.col("scope") == "class").cast("int")).alias("api_size"), *more,
     )
 
 
+def history(methods: DataFrame, as_of: str) -> DataFrame:
+    """class_rollup() and churn() in one pass."""
+    g = class_rollup(methods, F.count("changed").alias("commits"), F.max("changed").alias("last")).withColumn("age", S.age_in_days("last", as_of))
+    return g.drop("last").withColumn("churn", S.churn_score("commits", "age"))
+
+
 def api_surface(methods: DataFrame) -> DataFrame:
     """(owner, instance_api, class_api): public methods; an unknown visibility counts for class methods only."""
     public, is_class = F.col("visibility") == "public", F.col("scope") == "class"

@@ -57,7 +57,7 @@ def _(t):
 
 
 def history(t):
-    return M.class_rollup(t("methods")).join(M.churn(t("methods"), AS_OF), "owner")
+    return M.history(t("methods"), AS_OF)
 
 
 @query("stability_simple", f"""
