@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.storage import discard, settle, shared_dir  # noqa: F401
+from graphloom.storage import discard, settle, shared_dir, tidy  # noqa: F401
 
 # Functions sent to executors take their code along, so that these need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules["graphloom.llm"])

@@ -33,18 +33,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, settle, table, text_of, whole_row
+from graphloom.llm.common import discard, settle, table, text_of, tidy, whole_row
 from graphloom.llm.words import buffers, mix, pieces, shingle_sets
 
 NGRAM, THRESHOLD = 3, 0.5
 #: A block's n-grams and texts (a text's number has 16 bits), and bytes and texts that are hashed at once.
-BLOCK_TOKENS, BLOCK_TEXTS, _PIECE, _PIECE_TEXTS = 1_000_000, 60_000, 1 << 20, 4096
+BLOCK_TOKENS, BLOCK_TEXTS, _PIECE, _PIECE_TEXTS = 500_000, 60_000, 1 << 18, 4096
 #: Bytes of text to a range of hashes; from LARGE bytes on, ranges and blocks both grow with the root of the size.
 RANGE_BYTES, LARGE = 4 << 20, 16 << 30
 #: Postings to a range of lists.
 RANGE_POSTINGS = 200_000
 #: Sets of a pivot or list that are compared in one task; more are split, and each pair of parts compared.
 PART = 4096
+#: N-grams of such sets; longer sets make more parts.
+PART_GRAMS = 1 << 20
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("both", pa.int64()), ("na", pa.int64()), ("nb", pa.int64())])
 _PAIRS_SQL = "a bigint, b bigint, both bigint, na bigint, nb bigint"
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("w", pa.int64())])
@@ -233,7 +235,7 @@ def distinct_sets(docs: DataFrame, n: int, t: float, text_bytes: int) -> tuple[D
     grown = max(1.0, math.sqrt(text_bytes / LARGE))
     ranges = max(1, math.ceil(text_bytes / (RANGE_BYTES * grown)))
     texts = docs.select("h1", "h2", F.lower("text").alias("text")).where("text is not null")
-    sent = texts.mapInArrow(_send(ranges, int(BLOCK_TOKENS * min(grown, 8.0)), n), _SENT_SQL)
+    sent = texts.mapInArrow(_send(ranges, int(BLOCK_TOKENS * min(grown, 16.0)), n), _SENT_SQL)
     counted = sent.groupBy("rng").applyInArrow(_count, _BACK_SQL)
     sets = counted.groupBy("block").applyInArrow(_sets_of_block(t), _SETS_SQL)
     # A row for the set, and one for its rows in this block: a set's rows are never all in one place.
@@ -434,7 +436,8 @@ def _compared(sets: DataFrame, t: float, links: bool) -> DataFrame:
     found = each.select("rng", (F.col("c") > 1).alias("long"), "i", "j", "gram", "sid", "n", "pos", "pivot", "part").groupBy("rng", "long", "i", "j").applyInArrow(_cross_pairs(t), "a bigint, b bigint").distinct()
     side = lambda x: p.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("k").alias(f"k{x}"), F.col("grams").alias(f"g{x}"))
     cross = found.join(side("a"), "a").join(side("b"), "b").mapInArrow(_check_pairs(t), "a bigint, b bigint, na bigint, nb bigint, ka bigint, kb bigint, both bigint")
-    many = p.groupBy("pivot").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    heavy = F.ceil(F.sum(F.size("grams")) * (PART / PART_GRAMS))
+    many = p.groupBy("pivot").agg(F.count(F.lit(1)).alias("c"), heavy.alias("g")).where("c > 1").select("pivot", F.greatest("c", "g").alias("m"))
     m = _parted(p.select("sid", "n", "k", "grams", "pivot").join(many, "pivot"), "m").drop("m").groupBy("pivot", "i", "j")
     if not links:
         return m.applyInArrow(_pairs_at_pivot(t), _PAIRS_SQL).unionByName(cross.select(*_PAIRS.names))
@@ -477,7 +480,9 @@ def _grouped(docs: DataFrame, n: int, t: float) -> DataFrame:
     """(h1, h2, doc_id, g, links) of all rows: a number for each class of rows that links connect, null for a row without a link, and its links."""
     texts, narrow, size = _keyed(docs)
     sets, members = distinct_sets(texts, n, t, size)
+    tidy(docs.sparkSession)
     found = settle(_compared(sets, t, links=True))
+    tidy(docs.sparkSession)
     label = _components(settle(found.where("b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()))
     count = found.where("w is not null").groupBy(F.col("a").alias("sid")).agg(F.sum("w").alias("w"))
     of = sets.select("sid", "k").join(label, F.col("sid") == F.col("u"), "left").join(count, "sid", "left")
@@ -536,6 +541,7 @@ def keep_documents(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD) -> Dat
     whole = docs.select(whole_row(docs), h1, h2)
     kept = whole.join(rows.where("not stays").select("h1", "h2"), ["h1", "h2"], "left_anti")
     again = settle(rows.where("stays").select("h1", "h2"))
+    tidy(docs.sparkSession)
     if again.isEmpty():
         return kept.select("__row.*")
     once = kept.join(again, ["h1", "h2"], "left_anti").select("__row.*")

@@ -12,7 +12,7 @@ from graphloom.llm.words import buffers, mix, pieces, word_hashes
 NAMES = ["bytes", "words", "upper", "digits", "marks", "lines", "word_bytes", "distinct", "top", "repeats", "near_words", "near_triples"]
 #: Words back in which a word, and a word triple, is looked for again: what is counted so doesn't depend on a text's length.
 NEAR_WORDS, NEAR_TRIPLES = 64, 1024
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _CLASSES = np.zeros((256, 5), bool)
 _CLASSES[65:91, 0] = True
 _CLASSES[48:58, 1] = True
