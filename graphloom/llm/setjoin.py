@@ -539,13 +539,13 @@ def keep_documents(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD) -> Dat
     rows = settle(rows.where("not stays or c > 1"))
     h1, h2 = row_key(F.col("doc_id"), F.col("text"))
     whole = docs.select(whole_row(docs), h1, h2)
-    kept = whole.join(rows.where("not stays").select("h1", "h2"), ["h1", "h2"], "left_anti")
+    # Texts are shuffled once; only for rows that are alike, mostly few, they are gone through again.
+    once = whole.join(rows.select("h1", "h2"), ["h1", "h2"], "left_anti").select("__row.*")
     again = settle(rows.where("stays").select("h1", "h2"))
     tidy(docs.sparkSession)
     if again.isEmpty():
-        return kept.select("__row.*")
-    once = kept.join(again, ["h1", "h2"], "left_anti").select("__row.*")
-    return once.unionByName(kept.join(again, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select("__row.*"))
+        return once
+    return once.unionByName(whole.join(again, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select("__row.*"))
 
 
 def query(spark, sf_dir):
