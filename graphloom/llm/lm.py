@@ -107,28 +107,33 @@ def _tables(p: dict, emb: np.ndarray):
     return emb, emb @ p["q"] / np.float32(np.sqrt(DIM)), emb @ p["k"], emb @ p["v"]
 
 
-def _weights(p: dict, q: np.ndarray, k: np.ndarray, none: np.ndarray) -> np.ndarray:
-    """Attention of the last STRIDE positions of windows to all before them; `none` marks PAD."""
+def _weights(p: dict, q: np.ndarray, k: np.ndarray, none: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Attention of the last STRIDE positions of windows to all before them, and the inverse of its sums, by which it isn't multiplied yet; `none` marks PAD."""
     mask = np.where(_CAUSAL, p["rel"][np.clip(_REL, 0, None)], np.float32(-1e9))
     some = np.flatnonzero(none.any(1))
 
     def scores():
         s = q @ k.transpose(0, 2, 1)
         s += mask
-        s[some] += np.where(none[some], np.float32(-1e9), np.float32(0))[:, None, :]
+        if len(some):
+            s[some] += np.where(none[some], np.float32(-1e9), np.float32(0))[:, None, :]
         return s
 
     s, total, _ = _exps(scores)
-    s *= (1 / total)[..., None]
-    return s
+    return s, (1 / total).reshape(-1, 1)
 
 
 def hidden(p: dict, tables, x: np.ndarray) -> np.ndarray:
     """Context vectors (n STRIDE, DIM) after each of the last STRIDE inputs."""
     emb, q, k, v = tables
-    ctx = _weights(p, q[x[:, STRIDE:]], k[x], x == PAD) @ v[x]
-    h = emb[x[:, STRIDE:]].reshape(-1, DIM) + ctx.reshape(-1, DIM) @ p["o"]
-    h += np.maximum(h @ p["w1"] + p["b1"], 0) @ p["w2"]
+    a, by = _weights(p, q[x[:, STRIDE:]], k[x], x == PAD)
+    ctx = (a @ v[x]).reshape(-1, DIM)
+    ctx *= by
+    h = emb[x[:, STRIDE:]].reshape(-1, DIM)
+    h += ctx @ p["o"]
+    u = h @ p["w1"]
+    u += p["b1"]
+    h += np.maximum(u, 0, out=u) @ p["w2"]
     return h
 
 
@@ -138,7 +143,15 @@ def forward(p: dict, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def class_log(p: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return _log(lambda: h @ p["out"] + p["bias"], y.ravel()).reshape(y.shape)
+    return _log(lambda: _and_one(h) @ np.vstack([p["out"], p["bias"]]), y.ravel()).reshape(y.shape)
+
+
+def _and_one(h: np.ndarray) -> np.ndarray:
+    """Rows with a 1 at the end, which takes what is added to all of them into their product."""
+    out = np.empty((len(h), h.shape[1] + 1), h.dtype)
+    out[:, :-1] = h
+    out[:, -1] = 1
+    return out
 
 
 def _exps(make) -> tuple[np.ndarray, np.ndarray, np.ndarray | np.float32]:
@@ -159,11 +172,13 @@ def _exps(make) -> tuple[np.ndarray, np.ndarray, np.ndarray | np.float32]:
     return z, total, off
 
 
-def _softmax(make, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probabilities at `at`, and all probabilities, of the rows that make() gives."""
+def _raw_gradient(make, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log probabilities at `at` of the rows that make() gives, the gradient of their negative sum for these rows, and the numbers its rows are still to be multiplied by: what comes of them is narrower."""
     z, total, _ = _exps(make)
-    z *= (1 / total)[:, None]
-    return np.log(np.maximum(z[np.arange(len(z)), at], 1e-30)), z
+    n = np.arange(len(z))
+    lp = np.log(np.maximum(z[n, at] / total, 1e-30))
+    z[n, at] -= total
+    return lp, z, (1 / total)[:, None]
 
 
 def _log(make, at) -> np.ndarray:
@@ -175,48 +190,65 @@ def _log(make, at) -> np.ndarray:
 def within(p: dict, classes: Classes, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Log probability of each id within its class, given the context vectors h."""
     out = np.zeros(len(ids), np.float32)
-    for r, c, s, leaf in _by_class(classes, ids):
-        for a in range(0, len(r), 4096):
-            x = h[r[a : a + 4096]]
-            at = slice(a, a + 4096)
-            out[r[at]] = _log(lambda: x @ p["sub"][c].T + classes.log_sub[c], s[at]) + _log(lambda: x @ p["place"].T + classes.log_in[leaf[at]], classes.place[ids[r[at]]])
+    rows, leaf, edges = _by_class(classes, ids)
+    sub = _leaves(p, classes)
+    place = classes.place[ids[rows]]
+    for k, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+        for a in range(a, z, 2048):
+            at = slice(a, min(a + 2048, z))
+            x = _and_one(h[rows[at]])
+            out[rows[at]] = _log(lambda: x @ sub[k], leaf[at] - k * LEAVES) + _log(lambda: _places(p, classes, x[:, :-1], leaf[at]), place[at])
     return out
 
 
-def _by_class(classes: Classes, ids: np.ndarray):
-    """For each class of several subwords that occurs: the rows of its subwords, its number, and their leaves in the class and in all."""
+def _by_class(classes: Classes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of subwords of classes of several, class by class, their leaves, and where each class's begin, and the end."""
     leaf = classes.leaf[ids]
     rows = np.flatnonzero(leaf >= 0)
-    c, s = np.divmod(leaf[rows], LEAVES)
-    order = np.argsort(c.astype(np.int16), kind="stable")
-    rows, c, s = rows[order], c[order], s[order]
-    edges = np.searchsorted(c, np.arange(CLASSES - OWN))
-    for k, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
-        if z > a:
-            yield rows[a:z], k, s[a:z], leaf[rows[a:z]]
+    order = np.argsort((leaf[rows] // LEAVES).astype(np.uint8), kind="stable")
+    rows = rows[order]
+    leaf = leaf[rows]
+    return rows, leaf, np.searchsorted(leaf // LEAVES, np.arange(CLASSES - OWN))
+
+
+def _leaves(p: dict, classes: Classes) -> np.ndarray:
+    """For each class of several what rows with a 1 at their end are multiplied by (DIM + 1, LEAVES)."""
+    return np.concatenate([p["sub"], classes.log_sub[:, :, None]], axis=2, dtype=p["sub"].dtype).transpose(0, 2, 1)
+
+
+def _places(p: dict, classes: Classes, x: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    z = x @ p["place"].T
+    z += classes.log_in[leaf]
+    return z
 
 
 def _within_gradient(p: dict, classes: Classes, h: np.ndarray, ids: np.ndarray):
     """Of within(): its value, and what the gradient of its negative sum is, for h, leaves and places."""
     out, dh = np.zeros(len(ids), h.dtype), np.zeros_like(h)
-    dsub, dplace = np.zeros(p["sub"].shape, h.dtype), np.zeros(p["place"].shape, h.dtype)
-    for r, c, s, leaf in _by_class(classes, ids):
-        x, n = h[r], np.arange(len(r))
-        lp, e = _softmax(lambda: x @ p["sub"][c].T + classes.log_sub[c], s)
-        e[n, s] -= 1
-        dsub[c] = e.T @ x
-        d = e @ p["sub"][c]
-        place = classes.place[ids[r]]
-        more, e = _softmax(lambda: x @ p["place"].T + classes.log_in[leaf], place)
-        e[n, place] -= 1
-        dplace += e.T @ x
-        out[r], dh[r] = lp + more, d + e @ p["place"]
+    dsub = np.zeros(p["sub"].shape, h.dtype)
+    rows, leaf, edges = _by_class(classes, ids)
+    sub = _leaves(p, classes)
+    x = _and_one(h[rows])
+    at = leaf % LEAVES
+    lp, e, by = _raw_gradient(lambda: _places(p, classes, x[:, :-1], leaf), classes.place[ids[rows]])
+    d = e @ p["place"]
+    d *= by
+    dplace = e.T @ (x[:, :-1] * by)
+    for k, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+        if z > a:
+            mine = x[a:z]
+            more, e, by = _raw_gradient(lambda: mine @ sub[k], at[a:z])
+            lp[a:z] += more
+            dsub[k] = e.T @ (mine[:, :-1] * by)
+            d[a:z] += (e @ p["sub"][k]) * by
+    out[rows], dh[rows] = lp, d
     return out, dh, dsub, dplace
 
 
 def _sums(at: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the rows of d with the same number, and the numbers."""
-    order = np.argsort(at, kind="stable")
+    # Numbers of 16 bits are sorted digit by digit.
+    order = np.argsort(at.astype(np.uint16) if len(at) and at.max() < 1 << 16 else at, kind="stable")
     a = at[order]
     starts = np.flatnonzero(np.concatenate((np.ones(min(len(a), 1), bool), a[1:] != a[:-1])))
     return a[starts], np.add.reduceat(d[order], starts) if len(a) else d[:0]
@@ -230,57 +262,89 @@ def gradient(p: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
 
 def word_gradient(p: dict, classes: Classes, x: np.ndarray, ids: np.ndarray) -> tuple[float, dict, dict]:
     """Mean loss over ids (n, STRIDE; -1 for none) after inputs x, its gradient, and that of subwords' vectors as (numbers, rows)."""
-    used, at = np.unique(x, return_inverse=True)
+    used, at = _distinct(x, FIRST + len(p["word"]))
     y = np.where(ids >= 0, classes.of[np.maximum(ids, 0)], PAD)
-    loss, g, demb = _gradient(p, _vectors(p, classes.of, used), at.reshape(x.shape), x == PAD, y, classes, ids)
+    loss, g, demb = _gradient(p, _vectors(p, classes.of, used), at, x == PAD, y, classes, ids)
     word = used >= FIRST
     g["emb"] = np.zeros((CLASSES, DIM), demb.dtype)
-    np.add.at(g["emb"], np.where(word, classes.of[np.maximum(used - FIRST, 0)], used)[used != PAD], demb[used != PAD])
+    rows, sums = _sums(np.where(word, classes.of[np.maximum(used - FIRST, 0)], used)[used != PAD], demb[used != PAD])
+    g["emb"][rows] = sums
     return loss, g, {"word": (used[word] - FIRST, demb[word])}
 
 
+def _distinct(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers in x, all under `most`, in order, and which of them each is."""
+    where = np.zeros(most, np.int32)
+    where[x] = 1
+    used = np.flatnonzero(where)
+    where[used] = np.arange(len(used))
+    return used, where[x]
+
+
 def _gradient(p: dict, table: np.ndarray, x: np.ndarray, none: np.ndarray, y: np.ndarray, classes: Classes | None = None, ids: np.ndarray | None = None):
     n, scale = len(x), np.float32(1 / np.sqrt(DIM))
     emb = table[x]
     every, last = emb.reshape(-1, DIM), emb[:, STRIDE:].reshape(-1, DIM)
-    q, k, v = (last @ p["q"] * scale).reshape(n, STRIDE, DIM), (every @ p["k"]).reshape(emb.shape), (every @ p["v"]).reshape(emb.shape)
-    a = _weights(p, q, k, none)
+    kv = np.hstack([p["k"], p["v"]])
+    q, both = (last @ (p["q"] * scale)).reshape(n, STRIDE, DIM), (every @ kv).reshape(n, 2 * STRIDE, 2 * DIM)
+    k, v = both[:, :, :DIM], both[:, :, DIM:]
+    a, by = _weights(p, q, k, none)
     ctx = (a @ v).reshape(-1, DIM)
-    h0 = last + ctx @ p["o"]
-    u = h0 @ p["w1"] + p["b1"]
-    r = np.maximum(u, 0)
-    h = h0 + r @ p["w2"]
+    ctx *= by
+    h0 = ctx @ p["o"]
+    h0 += last
+    r = h0 @ p["w1"]
+    r += p["b1"]
+    np.maximum(r, 0, out=r)
+    h = np.empty((len(h0), DIM + 1), h0.dtype)
+    h[:, :-1] = r @ p["w2"]
+    h[:, :-1] += h0
+    h[:, -1] = 1
     t = y.ravel()
     on = t != PAD
     t = np.where(on, t, 0)
     m = max(int(on.sum()), 1)
-    lp, e = _softmax(lambda: h @ p["out"] + p["bias"], t)
+    out = np.vstack([p["out"], p["bias"]])
+    lp, e, share = _raw_gradient(lambda: h @ out, t)
+    share *= (on / m)[:, None].astype(np.float32)
     loss = -lp[on].sum() / m
-    e[np.arange(len(t)), t] -= 1
-    e *= (on / m)[:, None].astype(np.float32)
-    g = {"out": h.T @ e, "bias": e.sum(0)}
+    dout = (h * share).T @ e
+    g = {"out": dout[:-1], "bias": dout[-1]}
     dh = e @ p["out"].T
+    dh *= share
     if classes is not None:
-        rows = np.flatnonzero(on)
-        lp, more, g["sub"], g["place"] = _within_gradient(p, classes, h[rows], ids.ravel()[rows])
+        rows = slice(None) if on.all() else np.flatnonzero(on)
+        lp, more, g["sub"], g["place"] = _within_gradient(p, classes, h[rows, :-1], ids.ravel()[rows])
         loss -= lp.sum() / m
-        dh[rows] += more / np.float32(m)
+        more /= np.float32(m)
+        dh[rows] += more
         g["sub"] /= np.float32(m)
         g["place"] /= np.float32(m)
-    dr = (dh @ p["w2"].T) * (u > 0)
-    g |= {"w2": r.T @ dh, "w1": h0.T @ dr, "b1": dr.sum(0)}
-    dh0 = dh + dr @ p["w1"].T
-    g["o"] = ctx.T @ dh0
-    dctx = (dh0 @ p["o"].T).reshape(n, STRIDE, DIM)
-    dv = (a.transpose(0, 2, 1) @ dctx).reshape(-1, DIM)
+    dr = dh @ p["w2"].T
+    dr *= r > 0
+    ones = np.ones(len(dr), dr.dtype)
+    g |= {"w2": r.T @ dh, "w1": h0.T @ dr, "b1": ones @ dr}
+    dh += dr @ p["w1"].T
+    g["o"] = ctx.T @ dh
+    dctx = dh @ p["o"].T
+    dctx *= by
+    dot = np.einsum("ij,ij->i", dctx, ctx).reshape(n, STRIDE, 1)
+    dctx = dctx.reshape(n, STRIDE, DIM)
     da = dctx @ v.transpose(0, 2, 1)
-    da -= (dctx.reshape(-1, DIM) * ctx).sum(1).reshape(n, STRIDE, 1)
+    da -= dot
     da *= a
     g["rel"] = np.bincount(np.clip(_REL, 0, None)[_CAUSAL], weights=da.sum(0)[_CAUSAL], minlength=2 * STRIDE)
-    dq, dk = (da @ k).reshape(-1, DIM) * scale, (da.transpose(0, 2, 1) @ q).reshape(-1, DIM)
-    g |= {"q": last.T @ dq, "k": every.T @ dk, "v": every.T @ dv}
-    d = (dk @ p["k"].T + dv @ p["v"].T).reshape(emb.shape)
-    d[:, STRIDE:] += (dh0 + dq @ p["q"].T).reshape(n, STRIDE, DIM)
+    dq = (da @ k).reshape(-1, DIM)
+    dq *= scale
+    dboth = np.empty_like(both)
+    np.matmul(da.transpose(0, 2, 1), q, out=dboth[:, :, :DIM])
+    np.matmul(a.transpose(0, 2, 1), dctx, out=dboth[:, :, DIM:])
+    dboth = dboth.reshape(-1, 2 * DIM)
+    dkv = every.T @ dboth
+    g |= {"q": last.T @ dq, "k": dkv[:, :DIM], "v": dkv[:, DIM:]}
+    d = (dboth @ kv.T).reshape(emb.shape)
+    dh += dq @ p["q"].T
+    d[:, STRIDE:] += dh.reshape(n, STRIDE, DIM)
     demb = np.zeros_like(table)
     rows, sums = _sums(x.ravel(), d.reshape(-1, DIM))
     demb[rows] = sums
@@ -290,17 +354,38 @@ def _gradient(p: dict, table: np.ndarray, x: np.ndarray, none: np.ndarray, y: np
 def train(p: dict, classes: Classes, x: np.ndarray, ids: np.ndarray, seed: int, rate: float = RATE) -> dict:
     """One pass over the windows, by Adam; vectors of subwords move when they are met."""
     order = np.random.default_rng(seed).permutation(len(x))
-    p = {k: v.copy() for k, v in p.items()}
-    m, s = ({k: np.zeros(v.shape, np.float32) for k, v in p.items()} for _ in range(2))
+    shapes = {k: v.shape for k, v in p.items() if k != "word"}
+    dense = np.zeros((3, sum(int(np.prod(s)) for s in shapes.values())), np.float32)
+    dense[0] = flat(p, shapes)
+    # Weights, means and squares side by side: what is met is gathered once.
+    words = np.zeros((len(p["word"]), 3, DIM), np.float32)
+    words[:, 0] = p["word"]
+    p = unflat(dense[0], shapes) | {"word": words[:, 0]}
     for i, at in enumerate(range(0, len(order), BATCH), 1):
         b = order[at : at + BATCH]
         _, g, rows = word_gradient(p, classes, x[b], ids[b])
         step, lift = np.float32(rate / (1 - 0.9**i)), np.float32(1 / (1 - 0.99**i))
-        for k, r, d in [(k, ..., g[k]) for k in g] + [(k, r, d) for k, (r, d) in rows.items()]:
-            m[k][r] = now = np.float32(0.9) * m[k][r] + np.float32(0.1) * d
-            s[k][r] = square = np.float32(0.99) * s[k][r] + np.float32(0.01) * np.square(d)
-            p[k][r] -= step * now / (np.sqrt(square * lift) + np.float32(1e-8))
-    return p
+        _adam(*dense, flat(g, shapes).astype(np.float32, copy=False), step, lift)
+        r, d = rows["word"]
+        met = words[r]
+        _adam(met[:, 0], met[:, 1], met[:, 2], d, step, lift)
+        words[r] = met
+    return p | {"word": words[:, 0].copy()}
+
+
+def _adam(p: np.ndarray, mean: np.ndarray, square: np.ndarray, d: np.ndarray, step: np.float32, lift: np.float32) -> None:
+    mean *= np.float32(0.9)
+    mean += np.float32(0.1) * d
+    square *= np.float32(0.99)
+    d = d * d
+    d *= np.float32(0.01)
+    square += d
+    d = square * lift
+    np.sqrt(d, out=d)
+    d += np.float32(1e-8)
+    np.divide(mean, d, out=d)
+    d *= step
+    p -= d
 
 
 def layout(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
