@@ -236,7 +236,10 @@ def distinct_sets(docs: DataFrame, n: int, t: float, text_bytes: int) -> tuple[D
     ranges = max(1, math.ceil(text_bytes / (RANGE_BYTES * grown)))
     texts = docs.select("h1", "h2", F.lower("text").alias("text")).where("text is not null")
     sent = texts.mapInArrow(_send(ranges, int(BLOCK_TOKENS * min(grown, 16.0)), n), _SENT_SQL)
-    counted = sent.groupBy("rng").applyInArrow(_count, _BACK_SQL)
+    # What was sent is twice the input at times: it is let go before what was counted is shuffled.
+    counted = settle(sent.groupBy("rng").applyInArrow(_count, _BACK_SQL))
+    del texts, sent
+    tidy(docs.sparkSession)
     sets = counted.groupBy("block").applyInArrow(_sets_of_block(t), _SETS_SQL)
     # A row for the set, and one for its rows in this block: a set's rows are never all in one place.
     none = F.lit(None)
@@ -247,6 +250,7 @@ def distinct_sets(docs: DataFrame, n: int, t: float, text_bytes: int) -> tuple[D
     both = sets.select("sid", "check", "n", "single", "pre", F.explode(part).alias("p")).select("sid", "check", "n", "single", "pre", "p.*")
     one = both.groupBy("sid", "check", "n", "of").agg(F.first("single").alias("single"), F.first("pre").alias("pre"), F.sum("k").alias("k"), F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("grams").alias("grams"))
     one = settle(one.drop("check"))
+    discard(counted)
     members = one.where("of is not null").select("sid", F.explode(F.arrays_zip("h1", "h2")).alias("h")).select("h.h1", "h.h2", "sid").distinct()
     return one.where("of is null").select("sid", "n", "single", "pre", "k", "grams"), members
 

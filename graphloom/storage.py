@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -80,6 +81,11 @@ def discard_unread(tables: list[DataFrame], by: DataFrame) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to, which it does when garbage is collected, and on a roomy driver that may be never."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of plans that nothing refers to, which it does when garbage is collected, and on a roomy driver that may be never.
+
+    Those of the job before go only with a second collection, some time after what the first one found has been finalized.
+    """
+    for pause in (0.3, 0):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
