@@ -1,4 +1,4 @@
-"""Language-model scoring with a causal self-attention model, trained and run in numpy on subword ids.
+"""Language-model scoring with a causal self-attention model on subword ids, defined in numpy; lm.java does the same in Spark's JVM, where it can.
 
 Inputs are subword ids, each with its own vector beside that of its class. A subword's probability is
 that of its class given what precedes, times its leaf's in the class, times that of its place in the leaf, all
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm import jvm
 from graphloom.llm.common import settle, table
 from graphloom.llm.subwords import TOKENIZER, Subwords
 from graphloom.llm.words import buffers, mix, pieces
@@ -513,6 +514,18 @@ def _train_shards(p: dict, classes: Classes, shapes: dict, seed: int):
     return run
 
 
+def _kernel(df: DataFrame, classes: Classes, p: dict, training: bool, schema: str, seed: int = 0) -> DataFrame | None:
+    """Training or scoring of df's rows by lm.java, which does what _train_shards or log_probabilities does; None where it can't run."""
+    if (STRIDE, DIM, HIDDEN) != (16, 16, 32) or CLASSES % 16:
+        return None
+    constants = {"CLASSES": CLASSES, "OWN": OWN, "LEAVES": LEAVES}
+    (vocabulary, _), (places, _), wide = p["word"].shape, p["place"].shape, classes.log_in.shape[1]
+    dense = flat(p, [*SHAPES, "sub", "place"])
+    sizes = [vocabulary, places, wide, SHARD, BATCH, np.dtype(_width(vocabulary)).itemsize, len(dense), 0]
+    model = jvm.packed(seed, RATE, sizes, [dense, p["word"]], [classes.of, classes.leaf, classes.place], [classes.log_sub, classes.log_in])
+    return jvm.kernel(df, constants, model, training, schema)
+
+
 def fit(coded: DataFrame, vocabulary: int, rounds: int = ROUNDS) -> tuple[Classes, dict]:
     """The model of settled (doc_id, ids). What comes back to the driver is one number for each weight."""
     counts = coded.select("ids").mapInArrow(_count(vocabulary), "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
@@ -521,8 +534,10 @@ def fit(coded: DataFrame, vocabulary: int, rounds: int = ROUNDS) -> tuple[Classe
     shapes = SHAPES | words
     p = initial() | {k: np.zeros(s, np.float32) for k, s in words.items()}
     for r in range(rounds):
-        got = coded.select("ids").mapInArrow(_train_shards(p, classes, shapes, r), "i array<int>, n array<bigint>, v array<bigint>")
-        mean = got.select(F.inline(F.arrays_zip("i", "n", "v"))).groupBy("i").agg((F.sum(F.col("v").cast("decimal(38,0)")) / F.sum("n")).cast("double").alias("v")).toArrow()
+        got = _kernel(coded.select("ids"), classes, p, True, "i int, n bigint, v bigint", r)
+        if got is None:
+            got = coded.select("ids").mapInArrow(_train_shards(p, classes, shapes, r), "i array<int>, n array<bigint>, v array<bigint>").select(F.inline(F.arrays_zip("i", "n", "v")))
+        mean = got.groupBy("i").agg((F.sum(F.col("v").cast("decimal(38,0)")) / F.sum("n")).cast("double").alias("v")).toArrow()
         if not mean.num_rows:
             break
         x = flat(p, shapes).astype(float)
@@ -567,6 +582,10 @@ def score(docs: DataFrame, path: str = TOKENIZER, rounds: int = ROUNDS) -> DataF
     coded = settle(docs.select("doc_id", "text").mapInArrow(_tokenize(path), f"doc_id {kind}, ids binary"))
     vocabulary = Subwords(path).size
     classes, p = fit(coded, vocabulary, rounds)
+    schema = f"doc_id {kind}, n_tokens bigint, nll double, perplexity double"
+    got = _kernel(coded, classes, p, False, schema)
+    if got is not None:
+        return got
 
     def run(batches):
         for b, a, ids, first in _texts(batches, vocabulary):
@@ -576,7 +595,7 @@ def score(docs: DataFrame, path: str = TOKENIZER, rounds: int = ROUNDS) -> DataF
             none = n == 0
             yield pa.RecordBatch.from_arrays([b.column(0).slice(a, len(n)), pa.array(n), pa.array(nll, mask=none), pa.array(np.exp(nll), mask=none)], names=["doc_id", "n_tokens", "nll", "perplexity"])
 
-    return coded.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, nll double, perplexity double")
+    return coded.mapInArrow(run, schema)
 
 
 def query(spark, sf_dir):
