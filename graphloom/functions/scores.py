@@ -18,6 +18,11 @@ def clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
+def rounded(x: Column, places: int = 2) -> Column:
+    """Half away from zero by the double itself, as SQL's round() does; Spark's goes by the shortest decimal that stands for it, and 0.285 is less than that."""
+    return F.round(x * float(10**places)) / float(10**places)
+
+
 def steps(value, bounds: list[tuple[float, object]], default, inclusive=True) -> Column:
     """The first label whose bound isn't passed."""
     v, out = _c(value), None
@@ -69,7 +74,7 @@ def age_in_days(last_modified, as_of) -> Column:
 def churn_score(commits, age) -> Column:
     a = _c(age)
     recency = F.when(a.isNull(), 1.0).when(a < 7, 2.0).when(a < 30, 1.5).when(a < 90, 1.2).otherwise(0.5)
-    return F.round(zero(commits) * recency, 2)
+    return rounded(zero(commits) * recency)
 
 
 def stability_simple(age, coverage, churn, doc) -> Column:
@@ -77,7 +82,7 @@ def stability_simple(age, coverage, churn, doc) -> Column:
     fs = [F.least(_c(age) / 365.0, F.lit(1.0)), _c(coverage) / 100.0, F.greatest(1 - _c(churn) / 10.0, F.lit(0.0)), _c(doc) / 100.0]
     n = sum((f.isNotNull().cast("int") for f in fs), F.lit(0))
     s = sum((F.coalesce(f, F.lit(0.0)) for f in fs), F.lit(0.0))
-    return F.round(F.when(n > 0, F.try_divide(s, n)).otherwise(0.5), 2)
+    return rounded(F.when(n > 0, F.try_divide(s, n)).otherwise(0.5))
 
 
 def stability_category(score) -> Column:
@@ -102,7 +107,7 @@ def norm_ten(x) -> Column:
 
 
 def stability_composite(age, coverage, churn, doc) -> Column:
-    return F.round(0.2 * norm_age(age) + 0.3 * norm_coverage(coverage) + 0.3 * (1 - norm_churn(churn)) + 0.2 * norm_coverage(doc), 2)
+    return rounded(0.2 * norm_age(age) + 0.3 * norm_coverage(coverage) + 0.3 * (1 - norm_churn(churn)) + 0.2 * norm_coverage(doc))
 
 
 def hundredths(total: Column, n: Column) -> Column:
@@ -135,7 +140,7 @@ def weighted_risk(pairs: Column) -> Column:
     """Severity-weighted mean of an array of (severity value, weight)."""
     num = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["value"] * p["weight"])
     den = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["weight"])
-    return F.round(F.when(den > 0, F.try_divide(num, den)).otherwise(0.0), 2)
+    return rounded(F.when(den > 0, F.try_divide(num, den)).otherwise(0.0))
 
 
 SEVERITY_VALUE = {"critical": 1.0, "high": 0.8, "medium": 0.5, "low": 0.3}

@@ -127,7 +127,7 @@ def class_issues(df: DataFrame) -> DataFrame:
 
 def evidence_confidence(required: Column, n_required: int, optional: Column, n_optional: int) -> Column:
     """0.7 of the required share and 0.3 of the optional one."""
-    return F.round(0.7 * (required / n_required if n_required else F.lit(1.0)) + 0.3 * (optional / n_optional if n_optional else F.lit(0.0)), 2)
+    return S.rounded(0.7 * (required / n_required if n_required else F.lit(1.0)) + 0.3 * (optional / n_optional if n_optional else F.lit(0.0)))
 
 
 def summary_lists(df: DataFrame) -> DataFrame:

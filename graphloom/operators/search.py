@@ -46,7 +46,7 @@ def in_file(symbols: DataFrame, file: str) -> DataFrame:
 
 def fuzzy(symbols: DataFrame, query: str, threshold: float = 0.7) -> DataFrame:
     """All columns and score, the most similar first."""
-    return symbols.withColumn("score", F.round(S.similarity("name", query), 4)).where(F.col("score") >= threshold).orderBy(F.desc("score"), "name")
+    return symbols.withColumn("score", S.rounded(S.similarity("name", query), 4)).where(F.col("score") >= threshold).orderBy(F.desc("score"), "name")
 
 
 def public_only(symbols: DataFrame) -> DataFrame:

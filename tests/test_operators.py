@@ -1,3 +1,4 @@
+import duckdb
 from pyspark.sql import functions as F
 
 from graphloom.functions import names as N
@@ -40,6 +41,13 @@ def test_scores(spark):
     assert one(spark, S.coverage_severity(none), S.coverage_severity(lit(59.9)), S.hundredths(lit(5), lit(0)), S.hundredths(lit(1075), lit(10))) == ("high", "medium", None, 1.08)
 
 
+def test_ties_are_rounded_as_in_sql(spark):
+    none = F.lit(None).cast("int")
+    sql = duckdb.sql("SELECT round(1.14::DOUBLE / 4, 2), round(2.3::DOUBLE / 4, 2), round(0.5::DOUBLE / 4, 2)").fetchall()[0]
+    assert one(spark, *[S.stability_simple(F.lit(age), F.lit(cov), F.lit(10), F.lit(doc)) for age, cov, doc in ((0, 100, 14), (365, 100, 30), (0, 50, 0))]) == sql == (0.28, 0.57, 0.13)
+    assert one(spark, S.rounded(F.lit(-0.125)), S.rounded(none.cast("double")), S.rounded(F.lit(0.00005), 4)) == (-0.13, None, 0.0001)
+
+
 def test_fuzzy_search_ranks_the_closest_first(spark):
     s = spark.createDataFrame([("User",), ("UserGroup",), ("Order",), ("",), (None,)], "name string").withColumn("fqname", F.col("name"))
     got = [r.name for r in Se.fuzzy(s, "usr", 0.5).collect()]
