@@ -19,7 +19,7 @@ def clamp(x: Column) -> Column:
 
 
 def rounded(x: Column, places: int = 2) -> Column:
-    """Half away from zero by the double itself, as SQL's round() does; Spark's goes by the shortest decimal that stands for it, and 0.285 is less than that."""
+    """Half away from zero of the double times a power of ten, as SQL's round() does; Spark's goes by the shortest decimal that stands for it, so ties may fall otherwise."""
     return F.round(x * float(10**places)) / float(10**places)
 
 
