@@ -14,6 +14,8 @@ from graphloom.storage import discard, settle
 
 #: Steps of a search that are one job, and rounds after which what was seen becomes one table.
 LEVELS, MERGE = 4, 8
+#: Nodes that get what they inherit together are 2 to this power.
+BLOCK_BITS = 8
 
 
 def edges_from_arrays(df: DataFrame, node: str, targets: str, kind: str) -> DataFrame:
@@ -268,6 +270,34 @@ def remove_nodes(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti")
 
 
+def lineage(edges: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, up): every node with outgoing edges, and those of `more` (node), with itself and all nodes to which a path leads, each once.
+
+    Where no node has several parents these are chains; else they are gathered from the closure.
+    """
+    e = settle(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    if e.groupBy("src").count().where("count > 1").isEmpty():
+        up = chain(e).select("node", F.col("chain").alias("up"))
+    else:
+        up = closure(e).groupBy(F.col("src").alias("node")).agg(F.collect_set("dst").alias("up")).select("node", F.array_union(F.array("node"), "up").alias("up"))
+    return up.unionByName(more.where("node is not null").select("node").distinct().join(up.select("node"), "node", "left_anti").select("node", F.array("node").alias("up")))
+
+
+def inheriting(edges: DataFrame, own: DataFrame) -> DataFrame:
+    """(nodes, own) of blocks of nodes: `nodes` are lineage()'s, and `own` maps all nodes of their `up` to their items, from `own` (node, item).
+
+    Nodes stand in the order of their ways from the root, so those of a block share most of their ancestors, and a node's items
+    are sent once to each block that needs them, not to each descendant.
+    """
+    some = F.concat(F.collect_set("item"), F.when(F.count_if(F.col("item").isNull()) > 0, F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>")))
+    items = settle(own.where("node is not null").groupBy("node").agg(some.alias("items")))
+    up = lineage(edges, items).withColumn("way", F.reverse("up"))
+    n = settle(up.repartitionByRange("way").sortWithinPartitions("way").select(F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block"), "node", "up"))
+    held = n.select("block", F.explode("up").alias("node")).distinct().join(items, "node").select("block", F.lit(None).cast("struct<node:string,up:array<string>>").alias("n"), F.struct("node", "items").alias("h"))
+    every = n.select("block", F.struct("node", "up").alias("n"), F.lit(None).cast("struct<node:string,items:array<string>>").alias("h")).unionByName(held)
+    return every.groupBy("block").agg(F.collect_list("n").alias("nodes"), F.map_from_entries(F.collect_list("h")).alias("own")).select("nodes", "own")
+
+
 def effective_mixins(inheritance: DataFrame, mixins: DataFrame) -> DataFrame:
     """(node, module): a class's mixins and those of its ancestors."""
     reach = closure(inheritance).select("src", "dst").unionByName(mixins.select("src", F.col("src").alias("dst"))).distinct()

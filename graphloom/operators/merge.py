@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import names as N
+from graphloom.operators.graph import inheriting
 
 
 def winners(df: DataFrame, key: list[str], source: str = "source") -> DataFrame:
@@ -83,8 +84,13 @@ def owners(methods: DataFrame, symbols: DataFrame) -> DataFrame:
     return j.withColumn("owner_fqname", F.coalesce("__f", "__s")).where("owner_fqname is not null").drop("__k", "__f", "__k2", "__s")
 
 
-def availability(methods: DataFrame, reach: DataFrame) -> DataFrame:
-    """(owner, name, available_in): where a method can be called, from (src, dst) of classes and their ancestors; the owner included."""
-    own = methods.select("owner", "name").distinct()
-    everywhere = own.join(reach.select(F.col("dst").alias("owner"), F.col("src").alias("available_in")), "owner")
-    return everywhere.unionByName(own.withColumn("available_in", F.col("owner"))).distinct()
+def availability(methods: DataFrame, inheritance: DataFrame) -> DataFrame:
+    """(owner, name, available_in): where a method can be called, by edges (src, dst) from classes to their parents; the owner included.
+
+    No row is made twice, so none of the result is shuffled.
+    """
+    ways = F.flatten(F.transform("nodes", lambda n: F.transform(n["up"], lambda a: F.struct(a.alias("owner"), F.try_element_at("own", a).alias("names"), n["node"].alias("available_in")))))
+    blocks = inheriting(inheritance, methods.select(F.col("owner").alias("node"), F.col("name").alias("item")))
+    everywhere = blocks.select(F.explode(ways).alias("w")).select("w.owner", F.explode("w.names").alias("name"), "w.available_in")
+    unowned = methods.where("owner is null").select("owner", "name").distinct()
+    return everywhere.unionByName(unowned.withColumn("available_in", F.col("owner")))

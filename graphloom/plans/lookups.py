@@ -144,9 +144,7 @@ WITH RECURSIVE r(src, dst) AS (SELECT src, dst FROM @inherits UNION SELECT r.src
 d AS (SELECT DISTINCT owner, name FROM @methods)
 SELECT d.owner, d.name, r.src AS available_in FROM d JOIN r ON r.dst = d.owner UNION SELECT owner, name, owner FROM d""")
 def _(t):
-    from graphloom.operators.graph import closure
-
-    return G.availability(t("methods"), closure(t("inherits")))
+    return G.availability(t("methods"), t("inherits"))
 
 
 @query("anti_join_excludes", "SELECT p_partkey, file FROM @classes WHERE p_partkey NOT IN (SELECT replace(owner, 'Part', '')::BIGINT FROM @methods WHERE visibility = 'private' AND branches > 6 AND body_lines > 30)")

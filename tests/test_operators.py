@@ -201,3 +201,35 @@ def test_error_summary(spark):
     got = {(r.severity, r.category): r.n for r in M.error_summary(e).collect()}
     assert got[None, None] == 3 and got["warning", None] == 2 and got[None, "io"] == 2
     assert tuple(M.severity_counts(e).first()) == (1, 0, 0, 0) and M.overall(spark.createDataFrame([(0.55,), (0.9,), (None,)], "score double")).first().level == "good"
+
+
+def _inherits(r, own):
+    """What each node has of its own and of all that it leads to, by brute force."""
+    reach = {(n, n) for n in own} | {(a, b) for a, b in r}
+    while True:
+        more = reach | {(a, d) for a, b in reach for c, d in r if b == c}
+        if more == reach:
+            return {(a, i, b) for a, b in reach for i in own.get(b, ())}
+        reach = more
+
+
+def test_items_are_inherited_along_trees_cycles_and_several_parents(spark):
+    tree = [(f"N{i}", f"N{i // 2}") for i in range(1, 600)]
+    for pairs in (tree, [("A", "B"), ("B", "C"), ("C", "B"), ("S", "S")], [("A", "B"), ("A", "C"), ("B", "D"), ("C", "D"), ("D", "A")]):
+        nodes = sorted({x for p in pairs for x in p} | {"alone"})
+        own = {n: {f"m{i % 7}", f"m{i % 3}"} for i, n in enumerate(nodes) if i % 4 != 1}
+        want = _inherits(pairs, own)
+        rows = spark.createDataFrame([(n, m) for n, ms in own.items() for m in sorted(ms)] * 2, "src string, dst string")
+        got = sorted(tuple(r) for r in Mg.availability(rows.toDF("owner", "name"), edges(spark, *pairs, *pairs)).collect())
+        assert got == sorted((b, i, a) for a, i, b in want)
+
+
+def test_unknown_owners_and_items_stay(spark):
+    rows, none = spark.createDataFrame([("A", None), (None, "x"), (None, None)], "owner string, name string"), edges(spark, ("B", "A"), ("C", None), (None, "A"))
+    assert {tuple(r) for r in Mg.availability(rows, none).collect()} == {("A", None, "A"), ("A", None, "B"), (None, "x", None), (None, None, None)}
+
+
+def test_what_is_inherited_is_not_shuffled(spark):
+    for df in (Mg.availability(edges(spark, ("B", "m")).toDF("owner", "name"), edges(spark, ("A", "B"))),):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan[: plan.index("Generate")] and "Join" not in plan[: plan.index("Generate")]
