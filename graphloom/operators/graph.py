@@ -300,8 +300,10 @@ def inheriting(edges: DataFrame, own: DataFrame) -> DataFrame:
 
 def effective_mixins(inheritance: DataFrame, mixins: DataFrame) -> DataFrame:
     """(node, module): a class's mixins and those of its ancestors."""
-    reach = closure(inheritance).select("src", "dst").unionByName(mixins.select("src", F.col("src").alias("dst"))).distinct()
-    return reach.join(mixins.select(F.col("src").alias("dst"), F.col("dst").alias("module")), "dst").select(F.col("src").alias("node"), "module").distinct()
+    items = lambda a: F.coalesce(F.try_element_at("own", a), F.array().cast("array<string>"))
+    every = F.transform("nodes", lambda n: F.struct(n["node"].alias("node"), F.array_distinct(F.flatten(F.transform(n["up"], items))).alias("modules")))
+    blocks = inheriting(inheritance, mixins.select(F.col("src").alias("node"), F.col("dst").alias("item")))
+    return blocks.select(F.explode(every).alias("n")).select("n.node", F.explode("n.modules").alias("module"))
 
 
 def available_modules(mixins: DataFrame, node: str) -> DataFrame:

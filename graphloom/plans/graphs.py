@@ -206,7 +206,7 @@ WITH RECURSIVE r(src, dst) AS (SELECT src, dst FROM @inherits UNION SELECT r.src
 a AS (SELECT src, dst FROM r UNION SELECT src, src FROM @depends)
 SELECT DISTINCT a.src AS node, d.dst AS module FROM a JOIN @depends d ON d.src = a.dst""")
 def _(t):
-    return G.effective_mixins(t("inherits"), settle(t("depends")))
+    return G.effective_mixins(t("inherits"), t("depends"))
 
 
 @query("remove_nodes", """

@@ -220,6 +220,8 @@ def test_items_are_inherited_along_trees_cycles_and_several_parents(spark):
         own = {n: {f"m{i % 7}", f"m{i % 3}"} for i, n in enumerate(nodes) if i % 4 != 1}
         want = _inherits(pairs, own)
         rows = spark.createDataFrame([(n, m) for n, ms in own.items() for m in sorted(ms)] * 2, "src string, dst string")
+        got = sorted(tuple(r) for r in G.effective_mixins(edges(spark, *pairs, *pairs), rows).collect())
+        assert got == sorted({(a, i) for a, i, _ in want})
         got = sorted(tuple(r) for r in Mg.availability(rows.toDF("owner", "name"), edges(spark, *pairs, *pairs)).collect())
         assert got == sorted((b, i, a) for a, i, b in want)
 
@@ -227,9 +229,10 @@ def test_items_are_inherited_along_trees_cycles_and_several_parents(spark):
 def test_unknown_owners_and_items_stay(spark):
     rows, none = spark.createDataFrame([("A", None), (None, "x"), (None, None)], "owner string, name string"), edges(spark, ("B", "A"), ("C", None), (None, "A"))
     assert {tuple(r) for r in Mg.availability(rows, none).collect()} == {("A", None, "A"), ("A", None, "B"), (None, "x", None), (None, None, None)}
+    assert {tuple(r) for r in G.effective_mixins(none, rows.toDF("src", "dst")).collect()} == {("A", None), ("B", None)}
 
 
 def test_what_is_inherited_is_not_shuffled(spark):
-    for df in (Mg.availability(edges(spark, ("B", "m")).toDF("owner", "name"), edges(spark, ("A", "B"))),):
+    for df in (G.effective_mixins(edges(spark, ("A", "B")), edges(spark, ("B", "M"))), Mg.availability(edges(spark, ("B", "m")).toDF("owner", "name"), edges(spark, ("A", "B")))):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "Aggregate" not in plan[: plan.index("Generate")] and "Join" not in plan[: plan.index("Generate")]
