@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from graphloom.functions import names as N
 from graphloom.operators.graph import inheriting
 
+#: Rows of a task of a join or grouping that sorts texts.
+TASK_ROWS = 2**17
+
 
 def winners(df: DataFrame, key: list[str], source: str = "source") -> DataFrame:
     """One row for each key: that of the source with the highest precedence, of equals the one greatest by all its columns.
@@ -70,9 +73,14 @@ def children(df: DataFrame, node: str = "fqname") -> DataFrame:
 
 
 def attach_mixins(classes: DataFrame, mixins: DataFrame) -> DataFrame:
-    """(target, type, module): mixins whose target is known by full or simple name, once for each type and last component of the module."""
+    """(target, type, module): mixins whose target is known by full or simple name, once for each type and last component of the module.
+
+    Both sides are dealt to as many tasks as they have TASK_ROWS, since the least text is found by sorting all rows of a task.
+    """
     known = classes.select(F.explode(F.array_distinct(F.array("fqname", "name"))).alias("target"), "fqname")
-    m = mixins.join(known, "target").groupBy("fqname", "type", N.simple_name("module").alias("last")).agg(F.min("module").alias("module"))
+    n = 1 + (mixins.count() + 2 * classes.count()) // TASK_ROWS
+    both = mixins.repartition(n, "target").join(known.repartition(n, "target").hint("merge"), "target")
+    m = both.select("fqname", "type", "module", N.simple_name("module").alias("last")).repartition(n, "fqname").groupBy("fqname", "type", "last").agg(F.min("module").alias("module"))
     return m.select(F.col("fqname").alias("target"), "type", "module")
 
 

@@ -236,3 +236,12 @@ def test_what_is_inherited_is_not_shuffled(spark):
     for df in (G.effective_mixins(edges(spark, ("A", "B")), edges(spark, ("B", "M"))), Mg.availability(edges(spark, ("B", "m")).toDF("owner", "name"), edges(spark, ("A", "B")))):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "Aggregate" not in plan[: plan.index("Generate")] and "Join" not in plan[: plan.index("Generate")]
+
+
+def test_mixins_are_attached_by_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(Mg, "TASK_ROWS", 100)
+    classes = spark.range(300).select(F.concat(F.lit("C"), "id").alias("name"), F.concat(F.lit("A::C"), "id").alias("fqname"))
+    mixins = classes.select(F.col("name").alias("target"), F.lit("include").alias("type"), F.lit("Z::Log").alias("module")).unionByName(classes.select(F.col("fqname").alias("target"), F.lit("include").alias("type"), F.lit("B::Log").alias("module")))
+    got = Mg.attach_mixins(classes, mixins)
+    assert got.rdd.getNumPartitions() == 13 and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in got.collect()} == {(f"A::C{i}", "include", "B::Log") for i in range(300)} and got.count() == 300
